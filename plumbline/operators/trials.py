@@ -354,8 +354,7 @@ def median_pruning(
         )
     )
     block = [*keys, "lev", "blk"]
-    # one ordered scan per block gives, for each asked value: how many are smaller, the largest
-    # smaller one and the smallest one that is not smaller
+    # asks join the ordered scan of their block as points of weight 0
     points = data.select(*block, "v", F.lit(1).alias("__w")).unionByName(
         asks.select(*block, "v", F.lit(0).alias("__w"))
     )
@@ -364,8 +363,10 @@ def median_pruning(
     less = answered.groupBy(*keys, "pos", "v").agg(F.sum("before").alias("less"))
     # the two middle losses of the prefix decide the even case; they are found by value ranks
     neighbours = _prefix_neighbours(data, asks, block, keys)
-    out = join_on(join_on(placed, less.select(*keys, "pos", "less"), [*keys, "pos"]), neighbours, [*keys, "pos"], "left")
-    n, less_c = F.col("pos"), F.col("less")
+    # the first trial has no prefix and asks nothing, hence the left joins
+    counted = join_on(placed, less.select(*keys, "pos", "less"), [*keys, "pos"], "left")
+    out = join_on(counted, neighbours, [*keys, "pos"], "left")
+    n, less_c = F.col("pos"), F.coalesce(F.col("less"), F.lit(0))
     half = F.floor(n / 2)
     middle = (F.col("below") + F.coalesce(F.col("at_least"), F.col("below"))) / 2
     above = F.when(n % 2 == 1, less_c >= half + 1).otherwise(

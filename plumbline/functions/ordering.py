@@ -34,11 +34,14 @@ def ordered_counts(
     weight: Column | None = None,
     extra: dict[str, Column] | None = None,
     slices: int = 64,
+    neighbours: bool = False,
 ) -> DataFrame:
     """One row per (keys, value): ``cnt`` rows with it, ``before`` rows with a smaller value.
 
     Cut points are the ``slices - 1`` distinct values with the smallest hash: a sample that
-    depends on the data alone, so a recomputed task makes the same cuts.
+    depends on the data alone, so a recomputed task makes the same cuts. Rows of weight 0 are
+    placed but not counted. ``neighbours`` adds ``below``, the largest smaller counted value,
+    and ``at_least``, the smallest counted value that is not smaller.
     """
     keys = list(keys)
     weight = F.lit(1) if weight is None else weight
@@ -57,21 +60,36 @@ def ordered_counts(
     sliced = join_on(counts, cuts, keys).withColumn(
         "__slice", F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     ).drop("__cuts")
-    earlier = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*keys, "__slice")
-        .agg(F.sum("cnt").alias("__n"))
-        .select(*keys, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    in_order = W.partitionBy(*keys).orderBy("__slice")
+    earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
+    later = in_order.rowsBetween(1, W.unboundedFollowing)
+    inside = W.partitionBy(*keys, "__slice").orderBy(value)
+    inside_before = inside.rowsBetween(W.unboundedPreceding, -1)
+    inside_from = inside.rowsBetween(0, W.unboundedFollowing)
+    counted = F.when(F.col("cnt") > 0, F.col(value))
+    totals = sliced.groupBy(*keys, "__slice").agg(
+        F.sum("cnt").alias("__n"), F.max(counted).alias("__hi"), F.min(counted).alias("__lo")
     )
-    inside = W.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        join_on(sliced, offsets, [*keys, "__slice"])
-        .withColumn(
-            "before",
-            (F.col("__offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))).cast("bigint"),
-        )
-        .drop("__slice", "__offset")
+    offsets = totals.select(
+        *keys,
+        "__slice",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"),
+        *(
+            [F.max("__hi").over(earlier).alias("__left"), F.min("__lo").over(later).alias("__right")]
+            if neighbours
+            else []
+        ),
     )
+    before = F.col("__offset") + F.coalesce(F.sum("cnt").over(inside_before), F.lit(0))
+    out = join_on(sliced, offsets, [*keys, "__slice"]).withColumn("before", before.cast("bigint"))
+    if neighbours:
+        out = out.withColumns(
+            {
+                "below": F.coalesce(F.max(counted).over(inside_before), F.col("__left")),
+                "at_least": F.coalesce(F.min(counted).over(inside_from), F.col("__right")),
+            }
+        )
+    return out.drop("__slice", "__offset", "__left", "__right")
 
 
 def average_rank(cnt: str = "cnt", before: str = "before") -> Column:

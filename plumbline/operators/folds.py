@@ -31,11 +31,16 @@ def with_exact_folds(
     return df.join(position, df[key] == position["__k"]).drop("__k")
 
 
+def inner_seed(seed: int, outer_fold: int) -> int:
+    """Seed of an outer fold's inner split; never the outer seed, or the two would coincide."""
+    return seed + outer_fold + 1
+
+
 def with_inner_folds(
     df: DataFrame, key: str, outer_fold: int, k: int, seed: int = 42, column: str = "inner_fold"
 ) -> DataFrame:
     """Inner folds of one outer-train set; held-out rows get null."""
-    fold = hash_fold(key, seed + outer_fold, k)
+    fold = hash_fold(key, inner_seed(seed, outer_fold), k)
     return df.withColumn(column, F.when(F.col("outer_fold") != outer_fold, fold))
 
 
@@ -43,7 +48,7 @@ def nested_folds(df: DataFrame, key: str, outer: int, inner: int, seed: int = 42
     """Every (outer, inner) assignment as an array column: inner fold per outer split."""
     base = with_folds(df, key, outer, seed)
     inner_cols = [
-        F.when(F.col("outer_fold") != o, hash_fold(key, seed + o, inner)) for o in range(outer)
+        F.when(F.col("outer_fold") != o, hash_fold(key, inner_seed(seed, o), inner)) for o in range(outer)
     ]
     return base.withColumn("inner_folds", F.array(*inner_cols))
 

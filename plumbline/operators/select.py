@@ -6,7 +6,7 @@ only ever see p x p numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,28 +46,43 @@ class Moments:
         return float(v @ self.matrix @ v / self.n)
 
 
+Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def moments_by(
-    df: DataFrame, features: Sequence[str], y: str, group: str | None = None
+    df: DataFrame,
+    features: Sequence[str] | str,
+    y: str,
+    group: str | None = None,
+    weigh: Weigh | None = None,
 ) -> dict[int, Moments]:
-    """Cross-product sums per integer group (or 0), one pass with one small row set per task."""
-    features = list(features)
-    p = len(features) + 2
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features")
+    """Cross-product sums per integer group (or 0), one pass with one small row set per task.
+
+    ``features`` is a list of columns or the name of one array column. ``weigh`` gives row
+    weights from a batch's feature matrix and target.
+    """
+    if isinstance(features, str):
+        x = [F.col(features).alias("x")]
+    else:
+        x = [F.array(*[F.col(c).cast("double") for c in features]).alias("x")]
     rows = df.select(
-        (F.col(group) if group else F.lit(0)).cast("int").alias("g"),
-        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
-        F.col(y).cast("double").alias("y"),
-    ).dropna()
+        (F.col(group) if group else F.lit(0)).cast("int").alias("g"), *x, F.col(y).cast("double").alias("y")
+    ).filter(F.col("g").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            data = np.column_stack([np.ones(len(pdf)), pdf.iloc[:, 1:].to_numpy(dtype=float)])
+            if pdf.empty:
+                continue
+            x, y = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float)
+            if x.shape[1] > MAX_FEATURES:
+                raise ValueError(f"more than {MAX_FEATURES} features")
+            data = np.column_stack([np.ones(len(y)), x, y])
+            weighted = data if weigh is None else data * weigh(x, y)[:, None]
             g = pdf["g"].to_numpy()
             for key in np.unique(g):
-                part = data[g == key]
-                sums[int(key)] = sums.get(int(key), 0.0) + part.T @ part
+                at = g == key
+                sums[int(key)] = sums.get(int(key), 0.0) + data[at].T @ weighted[at]
         for key, m in sums.items():
             yield pd.DataFrame({"g": key, "cell": np.arange(m.size), "v": m.ravel()})
 
@@ -77,10 +92,14 @@ def moments_by(
         .agg(F.sum("v").alias("v"))
         .collect()
     )
-    out: dict[int, np.ndarray] = {}
+    found: dict[int, dict[int, float]] = {}
     for r in cells:
-        out.setdefault(r["g"], np.zeros(p * p))[r["cell"]] = r["v"]
-    return {g: Moments(m.reshape(p, p)) for g, m in sorted(out.items())}
+        found.setdefault(r["g"], {})[r["cell"]] = r["v"]
+    out = {}
+    for g, values in sorted(found.items()):
+        side = round(len(values) ** 0.5)
+        out[g] = Moments(np.array([values[i] for i in range(side * side)]).reshape(side, side))
+    return out
 
 
 def ridge(m: Moments, alpha: float) -> tuple[np.ndarray, float]:
@@ -214,38 +233,29 @@ def select_genetic(
 
 
 def quantile_regression(
-    df: DataFrame, features: Sequence[str], y: str, q: float = 0.75, alpha: float = 0.001,
-    rounds: int = 30, floor: float = 1e-4,
+    df: DataFrame, features: Sequence[str] | str, y: str, q: float = 0.75, alpha: float = 0.001,
+    rounds: int = 30, floor: float = 1e-4, tol: float = 1e-5,
 ) -> tuple[np.ndarray, float]:
     """Pinball-loss linear fit by reweighted least squares; each round is one pass of sums.
 
     The weight of a row is the pinball slope over |residual|, so the weighted squares equal the
     pinball loss at the fixed point. The penalty is the L1 size, reweighted the same way.
     """
-    features = list(features)
-    p = len(features)
-    start = moments_by(df, features, y)[0]
-    w, b = ridge(start, 0.0)
+    w, b = ridge(moments_by(df, features, y)[0], 0.0)
+    n = None
     for _ in range(rounds):
-        fitted = F.lit(float(b))
-        for f, c in zip(features, w):
-            fitted = fitted + F.col(f).cast("double") * float(c)
-        r = F.col(y).cast("double") - fitted
-        weight = F.when(r >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(r), F.lit(floor))
-        root = F.sqrt(weight)
-        weighted = df.select(
-            root.alias("__one"),
-            *[(F.col(f).cast("double") * root).alias(f"__x{i}") for i, f in enumerate(features)],
-            (F.col(y).cast("double") * root).alias("__y"),
-            F.lit(1.0).alias("__count"),
-        )
-        m = moments_by(weighted, ["__one", *[f"__x{i}" for i in range(p)], "__y"], "__count")[0].matrix
-        n = m[0, 0]
-        a, c = m[1 : p + 2, 1 : p + 2], m[1 : p + 2, p + 2]
-        shrink = np.r_[0.0, n * alpha / np.maximum(np.abs(w), 1e-8)]
-        new = np.linalg.lstsq(a + np.diag(shrink), c, rcond=None)[0]
+
+        def weigh(x: np.ndarray, t: np.ndarray, w=w, b=b) -> np.ndarray:
+            r = t - x @ w - b
+            return np.where(r >= 0, q, 1 - q) / np.maximum(np.abs(r), floor)
+
+        m = moments_by(df, features, y, weigh=weigh)[0].matrix
+        if n is None:
+            n = df.count()
+        pull = np.r_[0.0, n * alpha / np.maximum(np.abs(w), 1e-8)]
+        new = np.linalg.lstsq(m[:-1, :-1] + np.diag(pull), m[:-1, -1], rcond=None)[0]
         moved = np.max(np.abs(np.r_[b, w] - new))
         b, w = float(new[0]), new[1:]
-        if moved < 1e-7 * (1 + np.max(np.abs(new))):
+        if moved < tol * (1 + np.max(np.abs(new))):
             break
     return w, b

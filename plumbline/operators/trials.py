@@ -358,14 +358,18 @@ def median_pruning(
     points = data.select(*block, "v", F.lit(1).alias("__w")).unionByName(
         asks.select(*block, "v", F.lit(0).alias("__w"))
     )
-    ordered = ordered_counts(points, block, "v", weight=F.col("__w"))
-    answered = join_on(asks, ordered.select(*block, "v", "before"), [*block, "v"])
-    less = answered.groupBy(*keys, "pos", "v").agg(F.sum("before").alias("less"))
-    # the two middle losses of the prefix decide the even case; they are found by value ranks
-    neighbours = _prefix_neighbours(data, asks, block, keys)
-    # the first trial has no prefix and asks nothing, hence the left joins
-    counted = join_on(placed, less.select(*keys, "pos", "less"), [*keys, "pos"], "left")
-    out = join_on(counted, neighbours, [*keys, "pos"], "left")
+    ordered = ordered_counts(points, block, "v", weight=F.col("__w"), slices=32, neighbours=True)
+    answers = (
+        join_on(asks, ordered.select(*block, "v", "before", "below", "at_least"), [*block, "v"])
+        .groupBy(*keys, "pos")
+        .agg(
+            F.sum("before").alias("less"),
+            F.max("below").alias("below"),
+            F.min("at_least").alias("at_least"),
+        )
+    )
+    # the first trial has no prefix and asks nothing, hence the left join
+    out = join_on(placed, answers, [*keys, "pos"], "left")
     n, less_c = F.col("pos"), F.coalesce(F.col("less"), F.lit(0))
     half = F.floor(n / 2)
     middle = (F.col("below") + F.coalesce(F.col("at_least"), F.col("below"))) / 2
@@ -380,43 +384,6 @@ def median_pruning(
     )
 
 
-def _prefix_neighbours(data: DataFrame, asks: DataFrame, block: list[str], keys: list[str]) -> DataFrame:
-    """Largest smaller and smallest not-smaller loss of a prefix, merged over its blocks.
-
-    Distinct values of a block are cut into value slices, so that a big block is not scanned by
-    one task; the ends of the slices carry over.
-    """
-    values = data.select(*block, "v").distinct().withColumn("d", F.col("v"))
-    points = values.unionByName(asks.select(*block, "v").distinct().withColumn("d", F.lit(None).cast("double")))
-    merged = points.groupBy(*block, "v").agg(F.max("d").alias("d"))
-    by_hash = W.partitionBy(*block).orderBy(F.xxhash64("v"), "v")
-    cuts = (
-        merged.select(*block, "v").withColumn("__rn", F.row_number().over(by_hash)).filter("__rn < 32")
-        .groupBy(*block).agg(F.array_sort(F.collect_list("v")).alias("__cuts"))
-    )
-    sliced = join_on(merged, cuts, block).withColumn(
-        "__slice", F.size(F.filter("__cuts", lambda c: c < F.col("v")))
-    ).drop("__cuts")
-    ends = sliced.groupBy(*block, "__slice").agg(F.max("d").alias("__hi"), F.min("d").alias("__lo"))
-    up = W.partitionBy(*block).orderBy("__slice")
-    ends = ends.select(
-        *block, "__slice",
-        F.max("__hi").over(up.rowsBetween(W.unboundedPreceding, -1)).alias("__left"),
-        F.min("__lo").over(up.rowsBetween(1, W.unboundedFollowing)).alias("__right"),
-    )
-    inside = W.partitionBy(*block, "__slice").orderBy("v")
-    local = join_on(sliced, ends, [*block, "__slice"]).select(
-        *block, "v",
-        F.coalesce(F.max("d").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("__left")).alias("below"),
-        F.coalesce(F.min("d").over(inside.rowsBetween(0, W.unboundedFollowing)), F.col("__right")).alias("at_least"),
-    )
-    return (
-        join_on(asks, local, [*block, "v"])
-        .groupBy(*keys, "pos")
-        .agg(F.max("below").alias("below"), F.min("at_least").alias("at_least"))
-    )
-
-
 # ---- aggregation of best parameters ----------------------------------------------------
 
 
@@ -453,7 +420,7 @@ def aggregate_parameters(params: DataFrame, owner: str = "model", fold: str = "o
         F.bool_and(F.col("kind") == "bool").alias("__bool"),
     )
     typed = join_on(params, kinds, keys)
-    numbers = typed.filter("__num").withColumn("__x", F.col("value").cast("double"))
+    numbers = typed.filter("__num").withColumn("__x", F.col("value").try_cast("double"))
     medians = exact_quantiles(numbers, keys, "__x", {"__median": 0.5})
     modes = mode_by(typed.filter(~F.col("__num")), keys, "value", fold).withColumnRenamed("value", "__mode")
     out = join_on(join_on(kinds, medians, keys, "left"), modes, keys, "left")

@@ -357,7 +357,7 @@ def f1_exact(spark, sf_dir):
     f"""WITH {fx.FOLDED}, o AS (SELECT CAST(range AS INTEGER) AS split FROM range(3)),
 n AS (SELECT row_key, CAST({hash_sql('row_key', 42)} % 3 AS INTEGER) AS outer_fold FROM listings)
 SELECT split, outer_fold, CASE WHEN outer_fold <> split THEN
- CAST(CAST('0x' || substr(md5(concat_ws('|', row_key, CAST(42 + split AS VARCHAR))), 1, 8) AS BIGINT) % 2 AS INTEGER) END AS inner_fold,
+ CAST(CAST('0x' || substr(md5(concat_ws('|', row_key, CAST(43 + split AS VARCHAR))), 1, 8) AS BIGINT) % 2 AS INTEGER) END AS inner_fold,
  count(*) AS n FROM n, o GROUP BY 1, 2, 3""",
 )
 def f2(spark, sf_dir):

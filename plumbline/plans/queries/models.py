@@ -105,7 +105,7 @@ for _name, _kind, _params in (
     ("g9_quantile_residual", "Quantile", {"quantile": 0.75, "alpha": 0.001}),
     ("g10_fuzzy_residual", "FuzzyLogic", {"n_rules": 5, "fuzziness": 2.0, "alpha": 0.001}),
     ("g11_evolved_blend_residual", "EvolutionaryStacking", {"max_iter": 20, "population_size": 8, "tree_max_depth": 3, "rf_n_estimators": 10}),
-    ("g12_pseudo_huber_residual", "PseudoHuber", {"n_estimators": 12, "max_depth": 2, "learning_rate": 0.2, "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 0.1}),
+    ("g12_pseudo_huber_residual", "PseudoHuber", {"n_estimators": 6, "max_depth": 2, "learning_rate": 0.2, "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 0.1}),
 ):
     _residual_query(_name, _kind, _params)
 

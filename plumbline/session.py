@@ -51,9 +51,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark) + "/checkpoints")
-    return df.checkpoint(eager=True)
+    """Write the frame to shared storage once and go on from there.
+
+    Lost executors then cost no recomputation. Unlike an RDD checkpoint this evaluates the plan
+    a single time, and the file sizes give later joins a measured size to decide on.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

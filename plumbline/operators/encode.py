@@ -29,11 +29,12 @@ def smoothed_mean(n: Column, mean: Column, overall: Column, smoothing: float, mi
 
 
 def target_encoding(
-    train: DataFrame, cols: Sequence[str], y: str, smoothing: float = 10.0, min_leaf: int = 1
+    train: DataFrame, cols: Sequence[str], y: str, smoothing: float = 10.0, min_leaf: int = 1, with_overall: bool = False
 ) -> DataFrame:
     """(column, level, n, encoding) for every level of every column, from one group-by.
 
-    The overall mean comes from the same counts (every row contributes once per column).
+    The overall mean comes from the same counts (every row contributes once per column);
+    ``with_overall`` keeps it as a column.
     """
     long = train.select(y, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [y], list(cols), "column", "level"
@@ -51,6 +52,7 @@ def target_encoding(
             "level",
             "n",
             smoothed_mean(F.col("n"), F.col("total") / F.col("n"), F.col("overall"), smoothing, min_leaf).alias("encoding"),
+            *(["overall"] if with_overall else []),
         )
     )
 
@@ -200,11 +202,15 @@ class TargetEncoder(Estimator, HasInputCols, HasLabelCol):
 
     def _fit(self, dataset: DataFrame) -> "TargetEncoderModel":
         cols, y = self.getInputCols(), self.getLabelCol()
-        table = target_encoding(
-            dataset, cols, y, self.getOrDefault(self.smoothing), self.getOrDefault(self.minLeaf)
+        table = cut_lineage(
+            target_encoding(
+                dataset, cols, y, self.getOrDefault(self.smoothing), self.getOrDefault(self.minLeaf), with_overall=True
+            )
         )
-        overall = dataset.agg(F.avg(F.col(y).cast("double"))).first()[0]
-        return TargetEncoderModel(cut_lineage(table), float(overall), list(cols))
+        known = table.select("overall").first()
+        # without a single level there is nothing to read the mean from
+        overall = known[0] if known else dataset.agg(F.avg(F.col(y).cast("double"))).first()[0]
+        return TargetEncoderModel(table.drop("overall"), float(overall), list(cols))
 
 
 class TargetEncoderModel(Model, MLReadable, MLWritable):

@@ -9,6 +9,7 @@ from plumbline.functions.ordering import exact_quantiles, join_on
 from plumbline.operators.encode import out_of_fold_encoding
 from plumbline.operators.folds import with_folds
 from plumbline.operators.schema import Roles, log_target
+from plumbline.session import cut_lineage, spread
 
 SEED, FOLDS = 42, 5
 NUMERIC = ("year", "mileage", "tax", "mpg", "engineSize")
@@ -33,6 +34,7 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regression table: one row per line item with its order and part."""
     l, o, p = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
+    l = spread(l, "l_orderkey", "l_partkey", "l_suppkey")
     key = F.concat_ws(
         "_", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("bigint"),
@@ -78,6 +80,11 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table written once, for fits that pass over it several times."""
+    return cut_lineage(folded(spark, sf_dir))
+
+
 FOLDED = LISTINGS + f""", folded AS (
   SELECT *, CAST({hash_sql('row_key', SEED)} % {FOLDS} AS INTEGER) AS outer_fold,
          ln(greatest(price, 1.0)) AS y_log FROM listings)"""
@@ -114,6 +121,11 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results as a run leaves them: a written table that comparisons read."""
+    return cut_lineage(results(spark, sf_dir).coalesce(1))
+
+
 RESULTS = """results AS (
   SELECT CAST(user_id % 5 + 1 AS INTEGER) AS outer_fold, event_type AS model, avg(value) AS MAE,
          sqrt(avg(value * value)) AS RMSE, median(value) AS MedAE

@@ -98,7 +98,7 @@ round(avg(RMSE), 6) AS RMSE_mean, round(stddev_samp(RMSE), 6) AS RMSE_std, round
 round(stddev_samp(MedAE), 6) AS MedAE_std FROM results GROUP BY model""",
 )
 def j1(spark, sf_dir):
-    out = compare.summarize_mean_std(fx.results(spark, sf_dir))
+    out = compare.summarize_mean_std(fx.stored_results(spark, sf_dir))
     return rounded(out, *[c for c in out.columns if c != "model"])
 
 
@@ -108,7 +108,7 @@ def j1(spark, sf_dir):
 FROM results GROUP BY outer_fold""",
 )
 def j2(spark, sf_dir):
-    out = compare.pivot_metric(fx.results(spark, sf_dir), "mae")
+    out = compare.pivot_metric(fx.stored_results(spark, sf_dir), "mae")
     return rounded(out, *[c for c in out.columns if c != "outer_fold"])
 
 
@@ -122,7 +122,7 @@ _BASE_DIFF = """d AS (SELECT x.metric, x.model AS a, y.model AS b, x.v - y.v AS
 CAST(5 AS BIGINT) AS n_outer_folds FROM p""",
 )
 def j3(spark, sf_dir):
-    out = compare.paired_tests(fx.results(spark, sf_dir), ["MAE", "RMSE"], "click")
+    out = compare.paired_tests(fx.stored_results(spark, sf_dir), ["MAE", "RMSE"], "click")
     return rounded(out, "paired_t_p", digits=9).drop("wilcoxon_p")
 
 
@@ -131,7 +131,7 @@ def j3(spark, sf_dir):
     f"""WITH {_LONG}, {_BASE_DIFF}, {_SIGNED} SELECT metric, a AS model, CAST(round(wp, 9) AS DOUBLE) AS wilcoxon_p FROM p""",
 )
 def j4(spark, sf_dir):
-    out = compare.paired_tests(fx.results(spark, sf_dir), ["MAE", "RMSE"], "click")
+    out = compare.paired_tests(fx.stored_results(spark, sf_dir), ["MAE", "RMSE"], "click")
     return rounded(out, "wilcoxon_p", digits=9).select("metric", "model", "wilcoxon_p")
 
 
@@ -143,7 +143,7 @@ SELECT metric, a AS model_a, b AS model_b, round({_P4}, 9) AS paired_t_p, CAST(r
 CAST(5 AS BIGINT) AS n_outer_folds FROM p""",
 )
 def j5(spark, sf_dir):
-    out = compare.significance_matrix(fx.results(spark, sf_dir), ["MAE", "RMSE"])
+    out = compare.significance_matrix(fx.stored_results(spark, sf_dir), ["MAE", "RMSE"])
     return rounded(out, "paired_t_p", "wilcoxon_p", digits=9)
 
 
@@ -157,7 +157,7 @@ ci AS (SELECT *, std / sqrt(n) AS sem, std / sqrt(n) * {_T4} AS h FROM s)"""
 0.95::DOUBLE AS ci, round(mean - h, 6) AS ci_low, round(mean + h, 6) AS ci_high, round(h, 6) AS ci_half_width FROM ci""",
 )
 def j6(spark, sf_dir):
-    out = compare.metric_summary(fx.results(spark, sf_dir), ["MAE", "RMSE"])
+    out = compare.metric_summary(fx.stored_results(spark, sf_dir), ["MAE", "RMSE"])
     return rounded(out, "mean", "std", "sem", "ci_low", "ci_high", "ci_half_width")
 
 
@@ -168,7 +168,7 @@ round(mean + h, 6) AS ci_high, model = 'click' AS is_baseline,
 round(max(mean) FILTER (model = 'click') OVER (PARTITION BY metric), 6) AS baseline_mean FROM ci""",
 )
 def j7(spark, sf_dir):
-    out = compare.ci_table(fx.results(spark, sf_dir), ["MAE", "RMSE"], "click")
+    out = compare.ci_table(fx.stored_results(spark, sf_dir), ["MAE", "RMSE"], "click")
     return rounded(out, "mean", "ci_low", "ci_high", "baseline_mean").select(
         "metric", "model", "mean", "ci_low", "ci_high", "is_baseline", "baseline_mean"
     )
@@ -180,7 +180,7 @@ def j7(spark, sf_dir):
 round(stddev_samp(d) / sqrt(5) * {_T4}, 6) AS ci_half_width, count(*) AS n FROM d GROUP BY metric, a""",
 )
 def j8(spark, sf_dir):
-    out = compare.baseline_delta(fx.results(spark, sf_dir), ["MAE", "RMSE"], "click")
+    out = compare.baseline_delta(fx.stored_results(spark, sf_dir), ["MAE", "RMSE"], "click")
     return rounded(out, "delta_mean", "ci_half_width")
 
 
@@ -190,7 +190,7 @@ def j8(spark, sf_dir):
 round(avg(MedAE) - stddev_samp(MedAE), 6) AS low, round(avg(MedAE) + stddev_samp(MedAE), 6) AS high FROM results GROUP BY model""",
 )
 def j9(spark, sf_dir):
-    return rounded(compare.point_range(fx.results(spark, sf_dir), "MedAE"), "mean", "std", "low", "high")
+    return rounded(compare.point_range(fx.stored_results(spark, sf_dir), "MedAE"), "mean", "std", "low", "high")
 
 
 @query(
@@ -200,7 +200,7 @@ SELECT ci.metric, model, round(mean, 6) AS mean, round(h, 6) AS ci_half_width, r
 FROM ci LEFT JOIN g ON g.metric = ci.metric AND g.a = ci.model""",
 )
 def j10(spark, sf_dir):
-    out = compare.comparison_batch(fx.results(spark, sf_dir), ["MAE", "RMSE"], "click")
+    out = compare.comparison_batch(fx.stored_results(spark, sf_dir), ["MAE", "RMSE"], "click")
     cols = ("mean", "ci_half_width", "delta_mean", "delta_ci_half_width")
     return rounded(out, *cols).select("metric", "model", *cols)
 
@@ -211,7 +211,7 @@ def j10(spark, sf_dir):
 ORDER BY avg(MAE), model LIMIT 1""",
 )
 def j11(spark, sf_dir):
-    return rounded(compare.best_model(fx.results(spark, sf_dir), "MAE"), "mean")
+    return rounded(compare.best_model(fx.stored_results(spark, sf_dir), "MAE"), "mean")
 
 
 @query(
@@ -220,4 +220,4 @@ def j11(spark, sf_dir):
 SELECT model, outer_fold, round(MAE, 6) AS score, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 3""",
 )
 def g15(spark, sf_dir):
-    return rounded(compare.top_fold_models(fx.results(spark, sf_dir), "MAE", 3), "score")
+    return rounded(compare.top_fold_models(fx.stored_results(spark, sf_dir), "MAE", 3), "score")

@@ -20,7 +20,7 @@ _START = 500.0
 
 def _store(spark, sf_dir, folds=(0, 1)) -> list[explain.Entry]:
     """A known linear function of raw columns, explained on the rows of each fold."""
-    df = VectorAssembler(inputCols=list(_COLS), outputCol="features").transform(fx.folded(spark, sf_dir))
+    df = VectorAssembler(inputCols=list(_COLS), outputCol="features").transform(fx.stored_folded(spark, sf_dir))
     names = [f"num__{c}" for c in _COLS]
     fitted = models.LinearFitted(list(_WEIGHTS), _START)
     return [

@@ -218,7 +218,7 @@ def e6(spark, sf_dir):
 @query("e6_power_fit")
 def e6_fit(spark, sf_dir):
     """Maximum-likelihood lambdas with the moments of the transformed columns."""
-    fit = numeric.fit_power(fx.listings(spark, sf_dir), ["mileage", "mpg", "engineSize", "tax"])
+    fit = numeric.fit_power(fx.stored_folded(spark, sf_dir), ["mileage", "mpg", "engineSize", "tax"])
     return fit.table(spark)
 
 
@@ -256,7 +256,7 @@ def _scaled(spark, sf_dir):
     """Standardised numerics, two noise columns and the log target."""
     from plumbline.functions.keys import seeded_uniform
 
-    df = fx.folded(spark, sf_dir)
+    df = fx.stored_folded(spark, sf_dir)
     cols = list(fx.NUMERIC)
     fit = numeric.standard_scale_fit(df, cols)
     noise = {f"noise{i}": seeded_uniform("row_key", 900 + i) - 0.5 for i in range(2)}
@@ -300,7 +300,7 @@ def e13(spark, sf_dir):
     """Two policies end to end: mean of every assembled feature over the held-out fold."""
     from pyspark.ml.functions import vector_to_array
 
-    df = fx.folded(spark, sf_dir)
+    df = fx.stored_folded(spark, sf_dir)
     train, held = df.filter("outer_fold <> 0"), df.filter("outer_fold = 0")
     roles = fx.Roles("price", ("mileage", "mpg", "tax"), ("brand", "fuelType"))
     out = None

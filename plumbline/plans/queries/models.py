@@ -22,7 +22,7 @@ _POLICY = assembly.Policy("target", None, "scale")
 
 def prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
     """Fold 0 held out, features fitted on the other folds."""
-    df = fx.folded(spark, sf_dir)
+    df = fx.stored_folded(spark, sf_dir)
     train, held = df.filter("outer_fold <> 0"), df.filter("outer_fold = 0")
     feats = assembly.fit_features(train, fx.ROLES, _POLICY, "y_log", "row_key")
     keep = ["row_key", "outer_fold", "features", "y_log", F.col("price").alias("y_true")]
@@ -55,7 +55,7 @@ SELECT round(b, 6) AS slope, round(a, 2) AS intercept, count(*) AS n, round(avg(
 FROM folded, c WHERE outer_fold = 0 GROUP BY a, b""",
 )
 def g1(spark, sf_dir):
-    df = VectorAssembler(inputCols=["mileage"], outputCol="features").transform(fx.folded(spark, sf_dir))
+    df = VectorAssembler(inputCols=["mileage"], outputCol="features").transform(fx.stored_folded(spark, sf_dir))
     fitted = models.build_model("LinearRegression").fit(df.filter("outer_fold <> 0"), "price")
     b, a = float(fitted.model.coefficients[0]), float(fitted.model.intercept)
     scored = fitted.predict(df.filter("outer_fold = 0"), "p")
@@ -220,8 +220,8 @@ def l2_stream(spark, sf_dir):
     from plumbline.streaming.scoring import score_stream, stream_parquet
 
     source, target = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-    df = fx.folded(spark, sf_dir)
-    df.write.parquet(source)
+    fx.folded(spark, sf_dir).write.parquet(source)
+    df = spark.read.parquet(source)
     feats = assembly.fit_features(df, _ROLES, _POLICY, "y_log", "row_key")
     fitted = models.build_model("LinearRegression").fit(feats.transform(df), "y_log")
     stream = stream_parquet(spark, source, df.schema)

@@ -55,13 +55,16 @@ class PowerFit:
 
 def _yj(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
     """The transform for a vector of values (rows) and of lambdas (columns)."""
-    size = np.log1p(np.abs(x))[:, None]
-    up = (x >= 0)[:, None]
-    k = np.where(up, lam, 2.0 - lam)
-    flat = k == 0
-    with np.errstate(over="ignore", invalid="ignore"):
-        body = np.where(flat, size, np.expm1(k * size) / np.where(flat, 1.0, k))
-    return np.where(up, body, -body)
+    out = np.empty((len(x), len(lam)))
+    for side, sign, k in ((x >= 0, 1.0, lam), (x < 0, -1.0, 2.0 - lam)):
+        if not side.any():
+            continue
+        size = np.log1p(np.abs(x[side]))
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            body = np.expm1(np.outer(size, k)) / k
+        body[:, k == 0] = size[:, None]
+        out[side] = sign * body
+    return out
 
 
 def _spread(

@@ -31,10 +31,14 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: rd(c, digits) for c in cols})
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regression table: one row per line item with its order and part."""
+def listings(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """Regression table: one row per line item with its order and part.
+
+    ``even`` spreads a line item table of few files, which pays off before heavy work only.
+    """
     l, o, p = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
-    l = spread(l, "l_orderkey", "l_partkey", "l_suppkey")
+    if even:
+        l = spread(l, "l_orderkey", "l_partkey", "l_suppkey")
     key = F.concat_ws(
         "_", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("bigint"),
@@ -73,16 +77,16 @@ def hash_sql(key: str, seed: str | int) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {key}, '{seed}')), 1, 8) AS BIGINT)"
 
 
-def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def folded(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
     """Listings with their fold and log target."""
-    return with_folds(listings(spark, sf_dir), "row_key", FOLDS, SEED).withColumn(
+    return with_folds(listings(spark, sf_dir, even), "row_key", FOLDS, SEED).withColumn(
         "y_log", log_target(F.col("price"))
     )
 
 
 def stored_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table written once, for fits that pass over it several times."""
-    return cut_lineage(folded(spark, sf_dir))
+    return cut_lineage(folded(spark, sf_dir, even=True))
 
 
 FOLDED = LISTINGS + f""", folded AS (

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; keeps the left side's key columns."""
@@ -35,9 +37,12 @@ def ordered_counts(
     extra: dict[str, Column] | None = None,
     slices: int = 64,
     neighbours: bool = False,
+    small: int = 1_000_000,
 ) -> DataFrame:
     """One row per (keys, value): ``cnt`` rows with it, ``before`` rows with a smaller value.
 
+    The counts are written once. Up to ``small`` rows in all, a plain window orders each group;
+    beyond that, groups are cut into slices of the value range which are ordered on their own.
     Cut points are the ``slices - 1`` distinct values with the smallest hash: a sample that
     depends on the data alone, so a recomputed task makes the same cuts. Rows of weight 0 are
     placed but not counted. ``neighbours`` adds ``below``, the largest smaller counted value,
@@ -46,11 +51,22 @@ def ordered_counts(
     keys = list(keys)
     weight = F.lit(1) if weight is None else weight
     extra = extra or {}
-    counts = df.groupBy(*keys, value).agg(
-        F.sum(weight).cast("bigint").alias("cnt"), *[c.alias(n) for n, c in extra.items()]
+    counts = cut_lineage(
+        df.groupBy(*keys, value).agg(
+            F.sum(weight).cast("bigint").alias("cnt"), *[c.alias(n) for n, c in extra.items()]
+        )
     )
+    counted = F.when(F.col("cnt") > 0, F.col(value))
+    if counts.count() <= small:
+        whole = W.partitionBy(*keys).orderBy(value)
+        ahead, onward = whole.rowsBetween(W.unboundedPreceding, -1), whole.rowsBetween(0, W.unboundedFollowing)
+        out = counts.withColumn("before", F.coalesce(F.sum("cnt").over(ahead), F.lit(0)).cast("bigint"))
+        if neighbours:
+            out = out.withColumns({"below": F.max(counted).over(ahead), "at_least": F.min(counted).over(onward)})
+        return out
     by_hash = W.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
-    cuts = (
+    # at most ``slices`` values per group; written, so that a small table is broadcast by its size
+    cuts = cut_lineage(
         counts.select(*keys, value)
         .withColumn("__rn", F.row_number().over(by_hash))
         .filter(F.col("__rn") < slices)
@@ -66,7 +82,6 @@ def ordered_counts(
     inside = W.partitionBy(*keys, "__slice").orderBy(value)
     inside_before = inside.rowsBetween(W.unboundedPreceding, -1)
     inside_from = inside.rowsBetween(0, W.unboundedFollowing)
-    counted = F.when(F.col("cnt") > 0, F.col(value))
     totals = sliced.groupBy(*keys, "__slice").agg(
         F.sum("cnt").alias("__n"), F.max(counted).alias("__hi"), F.min(counted).alias("__lo")
     )
@@ -143,7 +158,9 @@ def exact_quantiles(
             for i, n in enumerate(names)
         ]
     )
-    bounds = bounds.select(*keys, specs.alias("__specs"))
+    # written first: with a measured size the planner broadcasts it when it is small, instead of
+    # shuffling all rows by a possibly hot key
+    bounds = cut_lineage(bounds.select(*keys, specs.alias("__specs")))
     bracketed = (
         join_on(rows, bounds, keys)
         .select(*keys, "__v", F.explode("__specs").alias("s"))

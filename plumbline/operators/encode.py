@@ -105,6 +105,8 @@ def out_of_fold_encoding(
 
     Per-level totals minus the fold's own share replace a refit per fold: one group-by over
     (level, fold) per column. A level absent outside the fold gets that fold's overall mean.
+    Each encoding table is written before the join, so that its measured size decides between
+    a broadcast and a shuffle of the rows.
     """
     out = df
     for c in cols:
@@ -127,13 +129,14 @@ def out_of_fold_encoding(
             (n > 0) & F.col(c).isNotNull(),
             smoothed_mean(n, s / n, F.col("__overall"), smoothing, min_leaf),
         ).otherwise(F.col("__overall"))
-        out = join_on(out, table.select(c, fold, value.alias(f"{c}__te")), [c, fold], "left")
+        known = cut_lineage(table.select(c, fold, value.alias(f"{c}__te")))
+        out = join_on(out, known, [c, fold], "left")
     return out
 
 
 def balanced_weights(df: DataFrame, level: str, column: str = "weight") -> DataFrame:
     """n / (k * count(level)) per row."""
-    counts = df.groupBy(level).agg(F.count(F.lit(1)).alias("__c"))
+    counts = cut_lineage(df.groupBy(level).agg(F.count(F.lit(1)).alias("__c")))
     n, k = counts.agg(F.sum("__c"), F.count(F.lit(1))).first()
     weights = counts.select(
         level, (F.lit(float(n)) / (F.lit(float(k)) * F.col("__c"))).alias(column)

@@ -9,6 +9,7 @@ from plumbline.operators import assembly, encode, features, folds, numeric, sele
 from plumbline.plans import fixtures as fx
 from plumbline.plans.catalog import query
 from plumbline.plans.fixtures import hash_sql, rd, rounded, table
+from plumbline.session import cut_lineage
 
 
 def _gappy(spark, sf_dir):
@@ -178,8 +179,8 @@ FROM va CROSS JOIN g LEFT JOIN enc b ON b.c = 'brand' AND b.level = brand LEFT J
 )
 def e4(spark, sf_dir):
     train, held = _held_out(spark, sf_dir)
-    table_ = encode.target_encoding(train, ["brand", "model"], "y_log", min_leaf=3)
-    overall = train.agg(F.avg("y_log")).first()[0]
+    table_ = cut_lineage(encode.target_encoding(train, ["brand", "model"], "y_log", min_leaf=3, with_overall=True))
+    overall = table_.first()["overall"]
     out = encode.apply_target_encoding(held, table_, overall, ["brand", "model"])
     return rounded(out, "brand__te", "model__te", digits=9).select("row_key", "brand__te", "model__te")
 

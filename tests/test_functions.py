@@ -29,11 +29,13 @@ def test_exact_quantiles_through_the_bracket(spark, accuracy):
         assert row[n] == pytest.approx(np.percentile(values, 100 * p), rel=1e-12)
 
 
-def test_ordered_counts_against_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_ordered_counts_against_brute_force(spark, small):
+    """In slices and, for small tables, in one window."""
     rng = np.random.default_rng(1)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), rng.integers(0, 200, 900))]
     df = spark.createDataFrame(rows, "g int, v double")
-    for r in ordering.ordered_counts(df, ["g"], "v", slices=7, neighbours=True).collect():
+    for r in ordering.ordered_counts(df, ["g"], "v", slices=7, neighbours=True, small=small).collect():
         mine = [v for g, v in rows if g == r["g"]]
         assert r["cnt"] == mine.count(r["v"])
         assert r["before"] == sum(v < r["v"] for v in mine)
@@ -41,9 +43,10 @@ def test_ordered_counts_against_brute_force(spark):
         assert r["at_least"] == r["v"]
 
 
-def test_ordered_counts_null_keys_and_weight_zero(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_ordered_counts_null_keys_and_weight_zero(spark, small):
     df = spark.createDataFrame([(None, 1.0, 1), (None, 2.0, 0), (None, 3.0, 1)], "g string, v double, w int")
-    got = {r["v"]: r for r in ordering.ordered_counts(df, ["g"], "v", weight=F.col("w"), neighbours=True).collect()}
+    got = {r["v"]: r for r in ordering.ordered_counts(df, ["g"], "v", weight=F.col("w"), neighbours=True, small=small).collect()}
     assert got[2.0]["before"] == 1 and got[2.0]["below"] == 1.0 and got[2.0]["at_least"] == 3.0
 
 

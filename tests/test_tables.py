@@ -48,7 +48,7 @@ def test_duplicate_cells_fail_and_lookup_ignores_case(spark):
         compare.to_long(df, ["medae"]).collect()
 
 
-def test_reference_style_results(spark):
+def test_small_results_table(spark):
     """Two models on three folds; single-fold models get zero-width intervals."""
     from plumbline.operators import compare
 

@@ -28,20 +28,23 @@ from plumbline.session import cut_lineage
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 ITERATIONS, PRIOR_GOOD, PRIOR_WEIGHT = 30, 0.85, 50.0
-#: Before any data: how likely a rule votes for the true class, abstains, votes against it.
-BELIEF = (0.6, 0.3, 0.1)
+#: Before any data, shares of votes as {vote: (on good texts, on bad texts)}: of a rule that knows
+#: both sides, and of one that only finds a kind of bad text and abstains otherwise.
+BOTH = {"+": (0.6, 0.1), "0": (0.3, 0.3), "-": (0.1, 0.6)}
+ONE_SIDED = {"+": (0.001, 0.001), "0": (0.979, 0.699), "-": (0.02, 0.3)}
 
-#: (name, condition for -1, condition for 1) on the counts below; integers only, so that every
-#: engine decides alike. The first condition that holds counts.
+#: (name, condition for -1, condition for 1 or None) on the counts below; integers only, so that
+#: every engine decides alike. The first condition that holds counts.
 RULES = (
-    ("symbols", "10 * n_symbols > n_words", "50 * n_symbols < n_words"),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words < 15 * n_words"),
-    ("dup_lines", "4 * n_dup_lines > n_lines", "n_dup_lines = 0 and n_lines > 1"),
+    ("symbols", "10 * n_symbols > n_words", None),
+    ("symbol_share", "50 * n_symbols > word_chars", None),
+    ("repeats", "100 * n_repeat_words > 30 * n_words", None),
+    ("dup_lines", "2 * n_dup_lines > n_lines", None),
+    ("capitals", "10 * n_capitals > 3 * word_chars", None),
+    ("marks", "5 * n_marks > n_words", None),
+    ("distinct_words", "10 * n_distinct_words < n_words", None),
     ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars > 3 * n_words and word_chars < 9 * n_words"),
-    ("capitals", "10 * n_capitals > 3 * word_chars", "10 * n_capitals < word_chars"),
-    ("marks", "5 * n_marks > n_words", "50 * n_marks < n_words"),
-    ("distinct_words", "10 * n_distinct_words < n_words", "5 * n_distinct_words > n_words"),
-    ("stops", "n_stops = 0", "n_words < 100 * n_stops"),
+    ("stops", "n_stops = 0", None),
 )
 #: The counts that rules may use.
 COUNTS = (
@@ -102,7 +105,8 @@ def _votes(prefix: str) -> Column:
     import re
 
     full = lambda c: F.expr(re.sub(r"\b(" + "|".join(COUNTS) + r")\b", rf"`{prefix}\1`", c))
-    return F.concat(*(F.when(full(bad), "-").when(full(good), "+").otherwise("0") for _, bad, good in RULES))
+    vote = lambda bad, good: F.when(full(bad), "-").when(full(good) if good else F.lit(False), "+").otherwise("0")
+    return F.concat(*(vote(bad, good) for _, bad, good in RULES))
 
 
 @dataclass(frozen=True)
@@ -142,8 +146,7 @@ class VoteModel:
 
 
 def prior_model() -> VoteModel:
-    right, none, wrong = BELIEF
-    return VoteModel(PRIOR_GOOD, tuple({"+": (right, wrong), "0": (none, none), "-": (wrong, right)} for _ in RULES))
+    return VoteModel(PRIOR_GOOD, tuple(BOTH if good else ONE_SIDED for _, _, good in RULES))
 
 
 def fit(pattern_counts: dict[str, int], iterations: int = ITERATIONS) -> VoteModel:
@@ -189,15 +192,12 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vote_sql() -> str:
-    return " || ".join(f"case when {bad} then '-' when {good} then '+' else '0' end" for _, bad, good in RULES)
+    return " || ".join(f"case when {bad} then '-' when {good or 'false'} then '+' else '0' end" for _, bad, good in RULES)
 
 
 def fit_sql(patterns: str, iterations: int = ITERATIONS) -> str:
     """The same fit as chained SQL tables over `patterns` (votes, n): the last is `posteriors` (votes, p)."""
-    right, none, wrong = BELIEF
-    belief = ", ".join(
-        f"({k}, '{v}', {a}, {b})" for k in range(1, len(RULES) + 1) for v, a, b in (("+", right, wrong), ("0", none, none), ("-", wrong, right))
-    )
+    belief = ", ".join(f"({k + 1}, '{v}', {a}, {b})" for k, table in enumerate(prior_model().shares) for v, (a, b) in table.items())
     parts = [
         f"belief(k, v, g, b) as (select * from (values {belief}))",
         f"each_vote as materialized (select votes, n, k, substr(votes, k, 1) as v from {patterns}, (select distinct k from belief))",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, quality, token_counts
+from plumbline.llm import bpe, near_dup, quality, token_counts
 from plumbline.llm.common import read_table
 from plumbline.llm.registry import query
 
@@ -24,6 +26,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query("op4_near_dup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=Fraction(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 OP6_SQL = f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '{WORD}') as words,

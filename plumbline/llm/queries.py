@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, near_dup, quality, token_counts
+from plumbline.llm import bpe, decontaminate, near_dup, pii, quality, token_counts
 from plumbline.llm.common import read_table
 from plumbline.llm.registry import query
 
@@ -20,6 +20,19 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as bigint)").alias(f"n_{k}")
+    return found.select(
+        "row.doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(F.expr(joined.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), bpe.rank_file("byte_bpe_50k.json"))
@@ -63,6 +76,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *counts, "votes", F.round("posterior", 6).alias("posterior"), "base_failed", "kept")
 
 
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("long").alias("n_hits"),
+        F.array_distinct("hits.item_id").alias("items"),
+        F.expr("array_join(transform(hits, h -> concat_ws(':', h.item_id, h.start, h.end, h.distance)), ',')").alias("spans"),
+    )
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.rank_file("byte_bpe_multi_50k.tiktoken"), _pattern()

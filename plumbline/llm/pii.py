@@ -9,7 +9,7 @@ Loopy message passing runs over all documents of a slice at once.
 
 The weights are trained by pseudo-likelihood on the labels that the base patterns give, on a
 bounded sample: the TRAIN_DOCS documents with such words and of up to TRAIN_CHARS characters that
-come first by a hash of their text. Skip potentials are drawn towards agreement, their prior.
+have the smallest hashes of their text. Skip potentials are drawn towards agreement, their prior.
 
 Base spans are always kept; the field adds spans that overlap none of them, at a posterior of at
 least `confidence`. Matching is anchored so that long runs cost linear time.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import pieces
+from plumbline.llm.common import hashed_sample, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
@@ -255,7 +255,7 @@ class Field:
 def train(docs: DataFrame, text_col: str = "text", sample: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Field:
     t = F.col(f"`{text_col}`")
     rows = docs.select(t.alias("text")).filter((F.length("text") <= chars) & F.col("text").rlike(_SIGN))
-    chosen = rows.orderBy(F.xxhash64("text"), "text").limit(sample).toLocalIterator()
+    chosen = hashed_sample(rows, sample, "text").toLocalIterator()
     g = Graph()
     for i, r in enumerate(chosen):
         g.add(i, r["text"], base_spans(r["text"]))

@@ -7,9 +7,10 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, near_dup, pii, quality, token_counts
+from plumbline.llm import bpe, chat, decontaminate, near_dup, pii, quality, token_counts, toxicity, unit_dedup, warc
 from plumbline.llm.common import read_table
 from plumbline.llm.registry import query
+from plumbline.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +21,12 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = toxicity.grade(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return graded.select("doc_id", "toxic", "grade", F.round("severity", 6).alias("severity"), F.round(F.col("at_least")[0], 6).alias("p_toxic"))
+
+
 @query("op2_pii")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -45,6 +52,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op5_chat_format")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read_table(spark, sf_dir, "conversations"))
+
+
 OP6_SQL = f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '{WORD}') as words,
@@ -76,6 +88,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *counts, "votes", F.round("posterior", 6).alias("posterior"), "base_failed", "kept")
 
 
+OP7_SQL = f"""
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as n, sha256(b) as h from p),
+f as (select *, case when n >= {warc.MIN_BYTES} then min(page_id) over (partition by h) end as first from d)
+select page_id, n::bigint as payload_bytes, h as payload_digest,
+  case when first is not null and first is distinct from page_id then 'revisit' else 'response' end as record_type,
+  case when first is distinct from page_id then first end as refers_to
+from f
+"""
+
+
+@query("op7_warc", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    written = warc.archive(read_table(spark, sf_dir, "pages"), folder)
+    n = max(1, written.count())
+    back = warc.read(written.repartition(n), folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +121,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_unit_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unit_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.expr("aggregate(removed, 0L, (n, r) -> n + r.end - r.start)").alias("removed_chars"),
+        F.expr("array_join(transform(removed, r -> concat_ws(':', r.start, r.end)), ',')").alias("spans"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.rank_file("byte_bpe_multi_50k.tiktoken"), _pattern()

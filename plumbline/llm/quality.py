@@ -31,7 +31,7 @@ ITERATIONS, PRIOR_GOOD, PRIOR_WEIGHT = 30, 0.85, 50.0
 #: Before any data, shares of votes as {vote: (on good texts, on bad texts)}: of a rule that knows
 #: both sides, and of one that only finds a kind of bad text and abstains otherwise.
 BOTH = {"+": (0.6, 0.1), "0": (0.3, 0.3), "-": (0.1, 0.6)}
-ONE_SIDED = {"+": (0.001, 0.001), "0": (0.979, 0.699), "-": (0.02, 0.3)}
+ONE_SIDED = {"+": (0.001, 0.001), "0": (0.994, 0.699), "-": (0.005, 0.3)}
 
 #: (name, condition for -1, condition for 1 or None) on the counts below; integers only, so that
 #: every engine decides alike. The first condition that holds counts.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.keys import hash_fold, seeded_digest, seeded_int, seeded_uniform
 from plumbline.functions.ordering import ordered_counts
+from plumbline.session import cut_lineage
 
 
 def with_folds(df: DataFrame, key: str, k: int, seed: int = 42, column: str = "outer_fold") -> DataFrame:
@@ -72,17 +73,23 @@ def sample_per_group(df: DataFrame, groups: Sequence[str], key: str, n: int, see
 
 
 def evenly_spaced(sample: DataFrame, order_by: Sequence[str], m: int, groups: Sequence[str] = ()) -> DataFrame:
-    """m rows at floor(linspace(0, n-1, m)) of a bounded sample, with their position."""
-    by = [F.col(g) for g in groups] or [F.lit(0)]
-    whole = W.partitionBy(*by)
-    n = F.count(F.lit(1)).over(whole)
-    position = (F.row_number().over(whole.orderBy(*order_by)) - 1).cast("int")
-    placed = sample.withColumn("instance_index", position).withColumn("__n", n.cast("int"))
-    picks = F.least(F.lit(m), F.col("__n"))
+    """m rows at floor(linspace(0, n-1, m)) of each group (or of all rows), with their position.
+
+    Keys are ranked by counts in slices, so no task orders a whole group. Rows with equal keys share
+    their first position.
+    """
+    by = list(groups) or ["__all"]
+    rows = sample if groups else sample.withColumn("__all", F.lit(0))
+    key = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
+    rows = rows.withColumn("__order", key)
+    placed = ordered_counts(rows.select(*by, "__order"), by, "__order")
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    picks = F.least(F.lit(m).cast("bigint"), F.col("__n"))
     wanted = F.transform(
-        F.sequence(F.lit(0), picks - 1),
-        lambda i: F.floor(
-            i * (F.col("__n") - 1).cast("double") / F.greatest(picks - 1, F.lit(1))
-        ).cast("int"),
+        F.sequence(F.lit(0).cast("bigint"), picks - 1),
+        lambda i: F.floor(i * (F.col("__n") - 1).cast("double") / F.greatest(picks - 1, F.lit(1))),
     )
-    return placed.filter(F.array_contains(wanted, F.col("instance_index"))).drop("__n")
+    slots = cut_lineage(size.select(*by, F.explode(wanted).alias("__slot")))  # written: its small size is known
+    found = slots.join(placed, by).filter((F.col("__slot") >= F.col("before")) & (F.col("__slot") < F.col("before") + F.col("cnt")))
+    found = cut_lineage(found.select(*by, "__order", F.col("__slot").cast("int").alias("instance_index")))
+    return rows.join(found, [*by, "__order"]).drop("__order", "__all")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.stats import normal_quantile
 
-# the search starts on this grid; an optimum on its edge means no usable maximum
-LAMBDA_EDGE = 8.0
+# the search starts on this grid and doubles it while the optimum lies on its edge; past the last
+# edge the likelihood only rises, and the column has no usable maximum
+LAMBDA_EDGE, LAST_EDGE = 8.0, 1024.0
 
 
 def sql_number(x: float) -> str:
@@ -111,42 +112,58 @@ def _spread(
 def fit_power(df: DataFrame, cols: Sequence[str]) -> PowerFit:
     """Maximum-likelihood lambda per column, then population mean and std of the result.
 
-    Two passes evaluate a 65-point grid for all columns at once, the second 32 times finer; the
-    last step is the vertex of the parabola through the best three points. Columns without
-    variance or with the optimum on the edge of the grid are dropped with the reason.
+    A pass evaluates a 65-point grid for all columns at once; columns with the optimum on the edge
+    go again with a grid twice as wide. A last pass is 32 times finer; then comes the vertex of the
+    parabola through the best three points. NaN counts as missing. Columns without variance, or
+    whose likelihood still rises at LAST_EDGE, are dropped with the reason.
     """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
     basics = df.agg(
-        *[F.count(F.col(c).cast("double")).alias(f"n|{c}") for c in cols],
-        *[F.avg(F.col(c).cast("double")).alias(f"m|{c}") for c in cols],
-        *[F.var_pop(F.col(c).cast("double")).alias(f"v|{c}") for c in cols],
-        *[F.sum(F.signum(F.col(c).cast("double")) * F.log1p(F.abs(F.col(c).cast("double")))).alias(f"s|{c}") for c in cols],
+        *[F.count(value[c]).alias(f"n|{c}") for c in cols],
+        *[F.avg(value[c]).alias(f"m|{c}") for c in cols],
+        *[F.var_pop(value[c]).alias(f"v|{c}") for c in cols],
+        *[F.sum(F.signum(value[c]) * F.log1p(F.abs(value[c]))).alias(f"s|{c}") for c in cols],
     ).first()
     dropped = {c: "ZeroVariance" for c in cols if not basics[f"v|{c}"]}
     centre = {c: basics[f"m|{c}"] for c in cols if c not in dropped}
     best = {c: 0.0 for c in centre}
-    step = LAMBDA_EDGE / 32
-    for fine in (False, True):
-        grid = {c: best[c] + step * np.arange(-32, 33) for c in centre if c not in dropped}
-        if not grid:
-            break
+    step = {c: LAMBDA_EDGE / 32 for c in centre}
+
+    def likelihoods(todo: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        grid = {c: best[c] + step[c] * np.arange(-32, 33) for c in todo}
         spread = _spread(df, grid, centre)
+        out = {}
         for c, lams in grid.items():
-            n, s = basics[f"n|{c}"], basics[f"s|{c}"]
-            var = spread[c][1]
+            n, s, var = basics[f"n|{c}"], basics[f"s|{c}"], spread[c][1]
             ok = np.isfinite(var) & (var > 1e-300)
-            ll = np.where(ok, -n / 2 * np.log(np.where(ok, var, 1.0)) + (lams - 1) * s, -np.inf)
+            out[c] = lams, np.where(ok, -n / 2 * np.log(np.where(ok, var, 1.0)) + (lams - 1) * s, -np.inf)
+        return out
+
+    todo = list(centre)
+    while todo:
+        wider = []
+        for c, (lams, ll) in likelihoods(todo).items():
             i = int(np.argmax(ll))
             if not np.isfinite(ll[i]):
                 dropped[c] = "ZeroVariance"
-            elif not fine and i in (0, len(lams) - 1):
+            elif i not in (0, len(lams) - 1):
+                best[c] = float(lams[i])
+            elif step[c] * 32 >= LAST_EDGE:
                 dropped[c] = "BracketError"
             else:
-                best[c] = float(lams[i])
-                if fine and 0 < i < len(lams) - 1:
-                    bend = ll[i - 1] - 2 * ll[i] + ll[i + 1]
-                    if np.isfinite(bend) and bend < 0:
-                        best[c] += float(step * 0.5 * (ll[i - 1] - ll[i + 1]) / bend)
-        step /= 32
+                step[c] *= 2
+                wider.append(c)
+        todo = wider
+    for c in step:
+        step[c] /= 32
+    found = [c for c in centre if c not in dropped]
+    for c, (lams, ll) in (likelihoods(found) if found else {}).items():
+        i = int(np.argmax(ll))
+        best[c] = float(lams[i])
+        if 0 < i < len(lams) - 1:
+            bend = ll[i - 1] - 2 * ll[i] + ll[i + 1]
+            if np.isfinite(bend) and bend < 0:
+                best[c] += float(step[c] * 0.5 * (ll[i - 1] - ll[i + 1]) / bend)
     kept = [c for c in cols if c not in dropped]
     if not kept:
         raise ValueError(f"power transform failed for all numeric columns: {sorted(dropped)}")
@@ -160,9 +177,10 @@ def fit_power(df: DataFrame, cols: Sequence[str]) -> PowerFit:
 
 
 def standard_scale_fit(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population std per column; a constant column scales by 1."""
+    """Mean and population std per column, without nulls and NaN; a constant column scales by 1."""
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
     row = df.agg(
-        *[F.avg(c).alias(f"m|{c}") for c in cols], *[F.stddev_pop(c).alias(f"d|{c}") for c in cols]
+        *[F.avg(value[c]).alias(f"m|{c}") for c in cols], *[F.stddev_pop(value[c]).alias(f"d|{c}") for c in cols]
     ).first()
     return {c: (row[f"m|{c}"], row[f"d|{c}"] or 1.0) for c in cols}
 

@@ -212,18 +212,18 @@ def coverage_table(trials: DataFrame, required: DataFrame, study: Sequence[str]
     """
     study = list(study)
     cols = [c for c in trials.columns if c.startswith(PARAM_PREFIX)]
-    seen = (
+    # Nulls stay: a study that has seen no level of a parameter gets a row all the same.
+    levels = (
         trials.select(*study, *[F.col(c).cast("string").alias(c) for c in cols])
         .unpivot(study, cols, "parameter", "level")
-        .filter("level is not null")
         .withColumn("parameter", F.expr(f"substring(parameter, {len(PARAM_PREFIX) + 1})"))
-        .groupBy(*study, "parameter", "level")
-        .agg(F.count(F.lit(1)).alias("times"))
+        .distinct()
     )
     needed = required.groupBy("parameter").agg(F.count_distinct("level").alias("required"))
-    hits = seen.join(required.distinct(), ["parameter", "level"], "left_semi")
+    wanted = required.select("parameter", "level").distinct().withColumn("__hit", F.lit(1))
     return (
-        hits.groupBy(*study, "parameter").agg(F.count(F.lit(1)).alias("seen"))
+        levels.join(wanted, ["parameter", "level"], "left")
+        .groupBy(*study, "parameter").agg(F.count("__hit").alias("seen"))
         .join(needed, "parameter")
         .select(*study, "parameter", "required", "seen", (F.col("seen") >= F.col("required")).alias("covered"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import explain, features, models
 from plumbline.plans import fixtures as fx
 from plumbline.plans.catalog import query
-from plumbline.plans.fixtures import hash_sql, rd, rounded, table
+from plumbline.plans.fixtures import rd, rounded, table
 from plumbline.plans.queries.models import prepared
 from plumbline.session import scratch_path
 from plumbline.sources import sinks
@@ -18,7 +18,7 @@ _WEIGHTS = (0.9, 25.0, -40.0, 30000.0)
 _START = 500.0
 
 
-def _store(spark, sf_dir, folds=(0, 1)) -> list[explain.Entry]:
+def _store(spark, sf_dir, folds=range(fx.FOLDS)) -> list[explain.Entry]:
     """A known linear function of raw columns, explained on the rows of each fold."""
     df = VectorAssembler(inputCols=list(_COLS), outputCol="features").transform(fx.stored_folded(spark, sf_dir))
     names = [f"num__{c}" for c in _COLS]
@@ -28,11 +28,10 @@ def _store(spark, sf_dir, folds=(0, 1)) -> list[explain.Entry]:
     ]
 
 
-_SAMPLE = fx.FOLDED + f""", ranked AS (SELECT outer_fold AS fold, row_key, mileage, mpg, CAST(engineSize AS DOUBLE) AS engineSize, tax,
-  row_number() OVER (PARTITION BY outer_fold ORDER BY {hash_sql('row_key', 42)}, row_key) AS k FROM folded WHERE outer_fold IN (0, 1)),
+_SAMPLE = fx.FOLDED + """, ranked AS (SELECT outer_fold AS fold, row_key, mileage, mpg, CAST(engineSize AS DOUBLE) AS engineSize, tax FROM folded),
 s AS (SELECT *, 500.0 + 0.9 * mileage + 25.0 * mpg - 40.0 * engineSize + 30000.0 * tax AS p0,
-  row_number() OVER (PARTITION BY fold ORDER BY row_key) - 1 AS pos FROM ranked WHERE k <= 200),
-cells AS (SELECT fold, row_key, pos, p0, unnest(['mileage', 'mpg', 'engineSize', 'tax']) AS feature, unnest([0, 1, 2, 3]) AS fidx,
+  row_number() OVER (PARTITION BY fold ORDER BY row_key) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS size FROM ranked),
+cells AS (SELECT fold, row_key, pos, size, p0, unnest(['mileage', 'mpg', 'engineSize', 'tax']) AS feature, unnest([0, 1, 2, 3]) AS fidx,
   unnest([mileage, mpg, engineSize, tax]) AS x, unnest([0.9, 25.0, -40.0, 30000.0]) AS w FROM s),
 ends AS (SELECT fold, fidx, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM cells GROUP BY fold, fidx),
 grid AS (SELECT fold, fidx, range AS g, lo + (hi - lo) * range / 19.0 AS v FROM ends, range(20) WHERE lo <> hi)"""
@@ -55,7 +54,7 @@ def d7_audit(spark, sf_dir):
     train, held, names = prepared(spark, sf_dir)
     fitted = models.build_model("DecisionTree", {"max_depth": 5}).fit(train, "y_log")
     store = [explain.Entry("DecisionTree", "DecisionTree", 0, fitted, held, names)]
-    return features.monotonicity_audit(explain.partial_dependence(store, "DecisionTree", max_features=5))
+    return features.monotonicity_audit(explain.partial_dependence(store, "DecisionTree"))
 
 
 @query(
@@ -73,7 +72,7 @@ def k3(spark, sf_dir):
     "k4_counterfactuals",
     f"""WITH {_SAMPLE}, d AS (SELECT fold, 0.25 * stddev_pop(p0) AS delta FROM s GROUP BY fold),
 pick AS (SELECT c.*, p0 + delta AS target FROM cells c JOIN d USING (fold)
-  WHERE pos IN (SELECT CAST(floor(range * 199 / 4.0) AS BIGINT) FROM range(5))),
+  WHERE list_contains(list_transform(range(5), lambda i: CAST(floor(i * (size - 1) / 4.0) AS BIGINT)), pos)),
 tried AS (SELECT pick.*, g, v, abs(v - x) AS change, p0 + w * (v - x) AS p1 FROM pick JOIN grid ON grid.fold = pick.fold AND grid.fidx = pick.fidx),
 best AS (SELECT *, row_number() OVER (PARTITION BY fold, pos ORDER BY change, fidx, g) AS r FROM tried WHERE p1 >= target)
 SELECT 'Linear' AS model, fold AS outer_fold, CAST(pos AS INTEGER) AS instance_index, feature, fidx AS feature_index, round(x, 6) AS original_value,
@@ -104,15 +103,17 @@ def k5(spark, sf_dir):
 
 @query(
     "k7_linear_shapley",
-    f"""WITH {fx.FOLDED}, z AS (SELECT row_key, mileage, mpg, CAST(engineSize AS DOUBLE) AS engineSize, tax FROM folded WHERE outer_fold = 0),
-bg AS (SELECT avg(mileage) AS a, avg(mpg) AS b, avg(engineSize) AS c, avg(tax) AS d FROM (SELECT * FROM z ORDER BY {hash_sql('row_key', 43)}, row_key LIMIT 100)),
-ev AS (SELECT * FROM z ORDER BY {hash_sql('row_key', 42)}, row_key LIMIT 300)
-SELECT row_key, unnest(['mileage', 'mpg', 'engineSize', 'tax']) AS feature, unnest([mileage, mpg, engineSize, tax]) AS value,
- round(unnest([0.9 * (mileage - a), 25.0 * (mpg - b), -40.0 * (engineSize - c), 30000.0 * (tax - d)]), 4) + 0.0 AS phi FROM ev, bg""",
+    f"""WITH {fx.FOLDED}, ev AS (SELECT outer_fold, row_key, mileage, mpg, CAST(engineSize AS DOUBLE) AS engineSize, tax FROM folded),
+bg AS (SELECT outer_fold, avg(mileage) AS a, avg(mpg) AS b, avg(engineSize) AS c, avg(tax) AS d FROM ev GROUP BY outer_fold)
+SELECT outer_fold, row_key, unnest(['mileage', 'mpg', 'engineSize', 'tax']) AS feature, unnest([mileage, mpg, engineSize, tax]) AS value,
+ round(unnest([0.9 * (mileage - a), 25.0 * (mpg - b), -40.0 * (engineSize - c), 30000.0 * (tax - d)]), 4) + 0.0 AS phi FROM ev JOIN bg USING (outer_fold)""",
 )
 def k7(spark, sf_dir):
-    out = explain.linear_shapley(_store(spark, sf_dir, (0,))[0], _WEIGHTS)
-    return rounded(out, "phi", digits=4).select("row_key", "feature", "value", "phi")
+    out = None
+    for entry in _store(spark, sf_dir):
+        one = explain.linear_shapley(entry, _WEIGHTS)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "phi", digits=4).select("outer_fold", "row_key", "feature", "value", "phi")
 
 
 def _shapley_report(entry: explain.Entry, shap):
@@ -127,7 +128,7 @@ def k8(spark, sf_dir):
     train, held, names = prepared(spark, sf_dir)
     fitted = models.build_model("BoostedTrees", {"n_estimators": 5, "max_depth": 3}).fit(train, "y_log")
     entry = explain.Entry("BoostedTrees", "BoostedTrees", 0, fitted, held, names)
-    return _shapley_report(entry, explain.permutation_shapley(entry, background=30, eval_rows=120))
+    return _shapley_report(entry, explain.permutation_shapley(entry))
 
 
 @query("k9_tree_shapley")
@@ -136,7 +137,7 @@ def k9(spark, sf_dir):
     train, held, names = prepared(spark, sf_dir)
     fitted = models.build_model("DecisionTree", {"max_depth": 6}).fit(train, "y_log")
     entry = explain.Entry("DecisionTree", "DecisionTree", 0, fitted, held, names, policy="tree")
-    shap = explain.permutation_shapley(entry, background=30, eval_rows=200)
+    shap = explain.permutation_shapley(entry)
     return _shapley_report(entry, shap).join(
         explain.tree_importances(entry).select("feature", "importance"), "feature"
     )
@@ -211,7 +212,7 @@ def k12_row(spark, sf_dir):
 @query("k13_save_explanations")
 def k13(spark, sf_dir):
     """Both tables of all models written as CSV and read back."""
-    tables = explain.explain_all(_store(spark, sf_dir), max_features=3)
+    tables = explain.explain_all(_store(spark, sf_dir))
     root = scratch_path(spark, "explain")
     out = None
     for name, df in tables.items():

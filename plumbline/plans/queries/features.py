@@ -326,7 +326,7 @@ def e14(spark, sf_dir):
 
     df, cols = _scaled(spark, sf_dir)
     rows = []
-    for fold in range(3):
+    for fold in range(fx.FOLDS):
         part = folds.with_folds(df.filter(F.col("outer_fold") != fold), "row_key", 10, 7 + fold, "cv")
         s = select.select_lasso(part, cols, "y_log", "cv")
         rows += [("LinearRegression", fold, f, bool(m), float(c)) for f, m, c in zip(s.features, s.mask, s.coefficients)]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import once, pieces, texts
+from plumbline.session import cut_lineage
 
 #: Entries of the broadcast table, of each task's summary, and of a worker's cache.
 TABLE_SIZE, SUMMARY_SIZE, CACHE_SIZE = 40_000, 20_000, 400_000
@@ -104,7 +105,11 @@ def frequent_lengths(
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     found = rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(table_size).collect()]
+    found = cut_lineage(found)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    # At most 10 * table_size words can have that share: what reaches the driver is bounded.
+    often = found.filter(F.col("n") * (10 * table_size) >= total)
+    words = [r["word"] for r in often.orderBy(F.desc("n"), "word").limit(table_size).collect()]
     return dict(zip(words, splitter(vocabulary()).lengths(words))) if words else {}
 
 

@@ -113,8 +113,16 @@ def joined_text(*cols: str, gap: str = "nan") -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit(gap)) for c in cols])
 
 
-def fit_text_vectors(df: DataFrame, text: str, dim: int = 16, seed: int = 42, min_count: int = 5):
-    """Pipeline that turns a text column into ``dim`` dense numbers learnt from the table."""
+def fit_text_vectors(
+    df: DataFrame, text: str, dim: int = 16, seed: int = 42, min_count: int = 5, partitions: int | None = None, iterations: int | None = None
+):
+    """Pipeline that turns a text column into ``dim`` dense numbers learnt from the table.
+
+    The texts are trained on in as many partitions as the cluster has cores, with a few iterations
+    to bring the partitions together; one partition needs one.
+    """
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+    iterations = iterations or min(5, partitions)
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import RegexTokenizer, Word2Vec
 
@@ -122,7 +130,7 @@ def fit_text_vectors(df: DataFrame, text: str, dim: int = 16, seed: int = 42, mi
         RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"\s+"),
         Word2Vec(
             inputCol="__tokens", outputCol="__emb", vectorSize=dim, seed=seed, minCount=min_count,
-            maxIter=1, numPartitions=1,
+            maxIter=iterations, numPartitions=partitions,
         ),
     ]
     return Pipeline(stages=stages).fit(df)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -220,4 +222,4 @@ def match_many(results: DataFrame, names: Sequence[str], column: str = "model")
         .select(F.col("__m").alias(column))
         .distinct()
     )
-    return results.join(keep, column, "left_semi")
+    return results.join(cut_lineage(keep), column, "left_semi")

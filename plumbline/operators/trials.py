@@ -54,7 +54,7 @@ def parameter_cells(trials: DataFrame, min_trials: int = 3) -> DataFrame:
         .withColumn("parameter_type", F.when(F.col("__numeric"), "numeric").otherwise("categorical"))
         .drop("__numeric")
     )
-    return join_on(cells, usable, keys)
+    return join_on(cells, cut_lineage(usable), keys)
 
 
 def spearman(cells: DataFrame, keys: Sequence[str], x: Column, y: str = "score", cnt: str = "cnt") -> DataFrame:
@@ -101,7 +101,7 @@ def eta_squared(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.sum(F.col("cnt") * F.col("score")) / F.sum("cnt")).alias("__overall")
     )
     dev = F.col("score") - F.col("__overall")
-    joined = join_on(cells, overall, keys)
+    joined = join_on(cells, cut_lineage(overall), keys)
     levels = joined.groupBy(*keys, "level").agg(
         F.sum("cnt").alias("n"),
         (F.sum(F.col("cnt") * dev) / F.sum("cnt")).alias("__shift"),
@@ -143,7 +143,7 @@ def sensitivity_summary(trials: DataFrame, min_trials: int = 3) -> DataFrame:
     rho = spearman(numeric, keys, F.col("level").try_cast("double"))
     eta = eta_squared(cells.filter("parameter_type = 'categorical'"), keys)
     mean = F.sum(F.col("cnt") * F.col("score")) / F.sum("cnt")
-    basics = cells.groupBy(*keys, "parameter_type", "n_trials", "n_unique").agg(mean.alias("score_mean"))
+    basics = cut_lineage(cells.groupBy(*keys, "parameter_type", "n_trials", "n_unique").agg(mean.alias("score_mean")))
     dev = F.col("score") - F.col("score_mean")
     spread = (
         join_on(cells.select(*keys, "score", "cnt"), basics.select(*keys, "score_mean"), keys)
@@ -307,7 +307,7 @@ def stopping_points(
         F.max("__first").alias("__from"), F.count(F.lit(1)).alias("__got")
     )
     need = everything.first()["__need"]  # size of the search space's level list
-    t = join_on(t, covered, study, "left")
+    t = join_on(t, cut_lineage(covered), study, "left")
     ready = F.lit(True) if need == 0 else (F.col("__got") >= need) & (F.col("trial_number") >= F.col("__from"))
     tired = F.col("__fails") - F.coalesce(F.col("__mark"), F.lit(0)) >= patience
     stop = F.min(F.when(tired & F.coalesce(ready, F.lit(False)), F.col("trial_number")))
@@ -400,7 +400,7 @@ def common_parameters(params: DataFrame, owner: str = "model", fold: str = "oute
         .groupBy(owner, "param").agg(F.count(F.lit(1)).alias("__have"))
     )
     keep = per_param.join(folds, owner).filter(F.col("__have") == F.col("__folds")).select(owner, "param")
-    return params.join(keep, [owner, "param"], "left_semi")
+    return params.join(cut_lineage(keep), [owner, "param"], "left_semi")
 
 
 def mode_by(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
@@ -424,6 +424,7 @@ def aggregate_parameters(params: DataFrame, owner: str = "model", fold: str = "o
         F.bool_and(F.col("kind") == "int").alias("__int"),
         F.bool_and(F.col("kind") == "bool").alias("__bool"),
     )
+    kinds = cut_lineage(kinds)
     typed = join_on(params, kinds, keys)
     numbers = typed.filter("__num").withColumn("__x", F.col("value").try_cast("double"))
     medians = exact_quantiles(numbers, keys, "__x", {"__median": 0.5})

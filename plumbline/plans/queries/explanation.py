@@ -10,7 +10,7 @@ from plumbline.plans import fixtures as fx
 from plumbline.plans.catalog import query
 from plumbline.plans.fixtures import rd, rounded, table
 from plumbline.plans.queries.models import prepared
-from plumbline.session import scratch_path
+from plumbline.session import cut_lineage, scratch_path
 from plumbline.sources import sinks
 
 _COLS = ("mileage", "mpg", "engineSize", "tax")
@@ -146,7 +146,7 @@ def k9(spark, sf_dir):
 def _shap_rows(spark, sf_dir):
     """Linear contributions of every listing about its fold's mean; one fold lacks a feature."""
     df = fx.folded(spark, sf_dir)
-    means = df.groupBy("outer_fold").agg(*[F.avg(c).alias(f"m_{c}") for c in _COLS])
+    means = cut_lineage(df.groupBy("outer_fold").agg(*[F.avg(c).alias(f"m_{c}") for c in _COLS]))
     cells = F.array(
         *[
             F.struct(

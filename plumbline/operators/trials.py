@@ -323,12 +323,14 @@ def median_pruning(
     warmup: int = 1,
     interval: int = 1,
     study: Sequence[str] = ("study_name",),
+    complete: str | None = None,
 ) -> DataFrame:
     """Which (trial, step) reports a median pruner would stop.
 
     ``steps`` is (study, trial_number, step, loss): intermediate losses, smaller is better. A
     report is compared with the median of the losses that earlier trials gave at the same step;
-    the trial's own best so far is what is compared.
+    the trial's own best so far is what is compared. Only trials for which the boolean column
+    ``complete`` holds count as earlier ones (all, if no column is named).
 
     An expanding median over a group of any size needs, per report, the rank of a value among
     earlier ones. Trial positions are split into dyadic blocks: the prefix before position p is
@@ -337,25 +339,26 @@ def median_pruning(
     """
     study = list(study)
     keys = [*study, "step"]
-    best = steps.groupBy(*study, "trial_number", "step").agg(F.min("loss").alias("loss"))
+    done = F.bool_or(complete) if complete else F.lit(True)
+    best = steps.groupBy(*study, "trial_number", "step").agg(F.min("loss").alias("loss"), done.alias("__done"))
     own = W.partitionBy(*study, "trial_number").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     # a trial has one row per inner fold, so this window is short
     best = best.withColumn("best", F.min("loss").over(own))
-    position = ordered_counts(best, keys, "trial_number").select(
+    position = ordered_counts(best, keys, "trial_number", weight=F.when(F.col("__done"), 1).otherwise(0)).select(
         *keys, "trial_number", F.col("before").alias("pos")
     )
     placed = join_on(best, position, [*keys, "trial_number"])
     size = placed.groupBy(*keys).agg(F.max("pos").alias("__last"))
     placed = join_on(placed, size, keys)
     levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("__last") + 1)).cast("int"))
-    data = placed.select(*keys, "pos", "loss", F.explode(levels).alias("lev")).select(
+    data = placed.filter("__done").select(*keys, "pos", "loss", F.explode(levels).alias("lev")).select(
         *keys, "lev", F.expr("shiftright(pos, lev)").alias("blk"), F.col("loss").alias("v")
     )
     asks = (
-        placed.select(*keys, "pos", "best", F.explode(levels).alias("lev"))
+        placed.select(*keys, "trial_number", "pos", "best", F.explode(levels).alias("lev"))
         .filter(F.expr("shiftright(pos, lev) & 1 = 1"))
         .select(
-            *keys, "lev", (F.expr("shiftright(pos, lev)") - 1).alias("blk"), "pos", F.col("best").alias("v")
+            *keys, "lev", (F.expr("shiftright(pos, lev)") - 1).alias("blk"), "trial_number", F.col("best").alias("v")
         )
     )
     block = [*keys, "lev", "blk"]
@@ -363,10 +366,10 @@ def median_pruning(
     points = data.select(*block, "v", F.lit(1).alias("__w")).unionByName(
         asks.select(*block, "v", F.lit(0).alias("__w"))
     )
-    ordered = ordered_counts(points, block, "v", weight=F.col("__w"), slices=32, neighbours=True)
+    ordered = ordered_counts(points, block, "v", weight=F.col("__w"), neighbours=True)
     answers = (
         join_on(asks, ordered.select(*block, "v", "before", "below", "at_least"), [*block, "v"])
-        .groupBy(*keys, "pos")
+        .groupBy(*keys, "trial_number")
         .agg(
             F.sum("before").alias("less"),
             F.max("below").alias("below"),
@@ -374,7 +377,7 @@ def median_pruning(
         )
     )
     # the first trial has no prefix and asks nothing, hence the left join
-    out = join_on(placed, answers, [*keys, "pos"], "left")
+    out = join_on(placed, answers, [*keys, "trial_number"], "left")
     n, less_c = F.col("pos"), F.coalesce(F.col("less"), F.lit(0))
     half = F.floor(n / 2)
     middle = (F.col("below") + F.coalesce(F.col("at_least"), F.col("below"))) / 2

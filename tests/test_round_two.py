@@ -100,3 +100,30 @@ def test_evenly_spaced_positions(spark):
     df = spark.range(101).select(F.format_string("%03d", F.col("id")).alias("k"))
     got = folds.evenly_spaced(df, ["k"], 5).orderBy("instance_index").collect()
     assert [(r["k"], r["instance_index"]) for r in got] == [("000", 0), ("025", 25), ("050", 50), ("075", 75), ("100", 100)]
+
+
+def test_pruned_trials_cost_no_further_fit_and_do_not_count():
+    from types import SimpleNamespace
+
+    from plumbline.plans import experiment as ex
+
+    p = ex._Pruner(SimpleNamespace(pruner_startup=2, pruner_warmup=1, pruner_interval=1))
+    assert not p.active()
+    p.history = [[1.0, 1.0, 1.0], [2.0, 2.0, 2.0]]
+    assert p.active() and p.stop_at([9.0]) is None and p.stop_at([9.0, 9.0]) == 2
+
+
+def test_median_pruning_counts_completed_trials_only(spark):
+    import random
+    from statistics import median
+
+    rng = random.Random(3)
+    rows = [("s", t, s, rng.randint(1, 9) * 1.0, t % 3 != 0) for t in range(40) for s in range(1, 4)]
+    df = spark.createDataFrame(rows, "study_name string, trial_number long, step int, loss double, done boolean")
+    loss = {(t, s): x for _, t, s, x, _ in rows}
+    for r in trials.median_pruning(df, startup=4, complete="done").collect():
+        t, s = r["trial_number"], r["step"]
+        seen = [loss[e, s] for e in range(t) if e % 3 != 0]
+        best = min(loss[t, k] for k in range(1, s + 1))
+        assert r["earlier_trials"] == len(seen)
+        assert r["prune"] == (len(seen) >= 4 and s > 1 and best > median(seen)), r

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 #: White space that separates words, as bytes: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,9 +20,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Lowers the session's rows for an Arrow batch, so that long texts stay small beside a worker's own data."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), under fixed names: other columns can't clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def worker_cache() -> dict:
@@ -38,7 +49,7 @@ def once(key: tuple, make: Callable):
     return cache[key]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `limit` text bytes, so that what is derived stays small; a row is never cut."""
     sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
     start, total = 0, 0
@@ -51,6 +62,16 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000)
         yield batch.slice(start)
 
 
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """cut_lineage for tables of ids, with an eighth of the shuffle partitions.
+
+    The number of partitions suits texts, which have a hundred times the bytes of their ids; one file
+    for each partition would be many tiny files.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.coalesce(max(6, n // 8)))
+
+
 def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most n rows, those with the smallest hashes of their keys.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from plumbline.llm.common import pieces
+from plumbline.llm.common import in_small_batches, pieces
 
 RATE, MIN_PIECE, MIN_ITEM = 0.08, 8, 20
 #: Characters of items that are broadcast at once.
@@ -166,7 +166,7 @@ def find_items(
     """(row: the whole input row, hits: array of item_id, start, end, distance), offsets in code points."""
     context = docs.sparkSession.sparkContext
     columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    out = docs.select(columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.array().cast(ArrayType(HIT)).alias("hits"))
+    out = in_small_batches(docs).select(columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.array().cast(ArrayType(HIT)).alias("hits"))
 
     def searcher(shared):
         def run(batches):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import hashed_sample, pieces
+from plumbline.llm.common import hashed_sample, in_small_batches, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
@@ -267,7 +267,7 @@ def find(docs: DataFrame, text_col: str = "text", field: Field | None = None, co
     field = field or train(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((field.unary, field.pair, field.trained))
     columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(columns, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches):

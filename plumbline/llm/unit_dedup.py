@@ -1,7 +1,8 @@
 """Removes units of text that an earlier document holds already, by digests of normalised units.
 
 Units are lines, or paragraphs, and optionally the sentences in them: passages that are copied into
-other documents often start in the middle of a line. A unit is normalised (lower case, one blank
+other documents often start in the middle of a line, or of a sentence: a sentence also ends before a
+capitalised word. A unit is normalised (lower case, one blank
 between words, no mark at its end) and gets a 128-bit digest. Equal digests are grouped over all
 documents; the occurrence with the smallest (document id, place) stays and the others are repeats.
 A repeat is removed if the run of neighbouring repeats it is in has at least `min_words` words, so
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import pieces
+from plumbline.llm.common import in_small_batches, pieces
 from plumbline.session import cut_lineage
 
 MIN_WORDS = 20
 #: Patterns of units: what stands between two boundaries.
-UNITS = {"line": r"[^\n]+", "paragraph": r"(?:[^\n]|\n(?!\s*\n))+", "sentence": r"[^\n.!?]+"}
+UNITS = {"line": r"[^\n]+", "paragraph": r"(?:[^\n]|\n(?!\s*\n))+", "sentence": r"[^\s.!?]++(?:[^\S\n]++(?![A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])[^\s.!?]++)*+"}
 LAST = (1 << 63) - 1
 
 
@@ -102,7 +103,7 @@ def _tail(text: str, end: int) -> int:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (without the repeats), removed: array of start and end in the original text, in code points."""
-    rows = docs.select(
+    rows = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text")
     )
     found = cut_lineage(repeats(rows.filter("text is not null").select("id", "text"), unit))

@@ -5,8 +5,9 @@ other documents often start in the middle of a line, or of a sentence: a sentenc
 capitalised word. A unit is normalised (lower case, one blank
 between words, no mark at its end) and gets a 128-bit digest. Equal digests are grouped over all
 documents; the occurrence with the smallest (document id, place) stays and the others are repeats.
-A repeat is removed if the run of neighbouring repeats it is in has at least `min_words` words, so
-short phrases that meet by chance stay. Removed stretches are given in the original text.
+A repeated whole line is removed however short it is. Another repeat is removed if the run of
+neighbouring repeats it is in has at least `min_words` words, so short phrases that meet by chance
+within lines stay. Removed stretches are given in the original text.
 
 Only digests, ids and places are shuffled for grouping, counted before the shuffle; digests that
 occur once drop out. A digest with very many occurrences is a hot key of a join with a written
@@ -101,12 +102,38 @@ def _tail(text: str, end: int) -> int:
     return end
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text (without the repeats), removed: array of start and end in the original text, in code points."""
+def merged(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order; those with only white space between them are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and (a <= out[-1][1] or not text[out[-1][1] : a].strip()):
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def removals(text: str, lines: list[int], parts: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Original offsets of the repeated lines, and of the runs of other repeats that are long enough."""
+    own = units(text, "line") if lines else []
+    return merged(text, [own[k][:2] for k in lines if k < len(own)] + stretches(text, parts, "sentence", min_words))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text (without the repeats), removed: array of start and end in the original text, in code points.
+
+    Without a unit, repeated lines of any length go, and runs of at least `min_words` words within lines;
+    with one, only runs of such units.
+    """
     rows = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text")
     )
-    found = cut_lineage(repeats(rows.filter("text is not null").select("id", "text"), unit))
+    given = rows.filter("text is not null").select("id", "text")
+    if unit is None:
+        parts = repeats(given, "sentence").withColumnRenamed("places", "parts")
+        found = cut_lineage(repeats(given, "line").withColumnRenamed("places", "lines").join(parts, "id", "full"))
+    else:
+        found = cut_lineage(repeats(given, unit).select("id", F.lit(None).cast("array<int>").alias("lines"), F.col("places").alias("parts")))
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("removed", ArrayType(span))])
 
@@ -115,8 +142,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
         for whole in batches:
             for batch in pieces(whole):
                 texts, removed = [], []
-                for t, p in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-                    cut = stretches(t, p, unit, min_words) if t and p else []
+                for t, l, p in zip(*(batch.column(c).to_pylist() for c in ("text", "lines", "parts"))):
+                    cut = [] if not t or not (l or p) else removals(t, l or [], p or [], min_words) if unit is None else stretches(t, p, unit, min_words)
                     at, kept = 0, []
                     for a, b in cut:
                         kept.append(t[at:a])
@@ -125,4 +152,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
                     removed.append([{"start": a, "end": b} for a, b in cut])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, kind)], ["doc_id", "text", "removed"])
 
-    return rows.join(found, "id", "left").select("doc_id", "text", "places").mapInArrow(run, schema)
+    return rows.join(found, "id", "left").select("doc_id", "text", "lines", "parts").mapInArrow(run, schema)

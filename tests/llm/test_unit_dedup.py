@@ -53,3 +53,9 @@ def test_removed_equals_plain(documents, unit):
 
 def test_empty_table(documents):
     assert ud.dedup(documents([])).count() == 0
+
+
+def test_short_lines_go_and_the_earliest_stays(documents):
+    rows = [(i, f"Own words {i}\nAll rights  reserved.\nMore of {i}") for i in range(5)] + [(9, "ALL rights reserved.\n!!\n!!")]
+    got = {r["doc_id"]: r["text"] for r in ud.dedup(documents(rows)).collect()}
+    assert got == {0: rows[0][1], **{i: f"Own words {i}\n\nMore of {i}" for i in range(1, 5)}, 9: "\n!!\n"}

@@ -1,13 +1,15 @@
 """Removes units of text that an earlier document holds already, by digests of normalised units.
 
-Units are lines, or paragraphs, and optionally the sentences in them: passages that are copied into
-other documents often start in the middle of a line, or of a sentence: a sentence also ends before a
-capitalised word. A unit is normalised (lower case, one blank
-between words, no mark at its end) and gets a 128-bit digest. Equal digests are grouped over all
-documents; the occurrence with the smallest (document id, place) stays and the others are repeats.
-A repeated whole line is removed however short it is. Another repeat is removed if the run of
-neighbouring repeats it is in has at least `min_words` words, so short phrases that meet by chance
-within lines stay. Removed stretches are given in the original text.
+Units are lines: lower case, one blank between words, a 128-bit digest. Equal digests are grouped over
+all documents; the occurrence with the smallest (document id, place) stays, and every other goes,
+however short it is. Passages that are copied into other documents often start in the middle of a line
+or of a sentence, so stretches of at least `min_words` words that occur earlier go too, wherever they
+start and end. Windows of half as many words are compared for that (`passages` says which). Shorter
+phrases that meet by chance within lines stay. Removed stretches are given in the original text.
+
+On request, units are lines, paragraphs or sentences alone (a sentence also ends before a capitalised
+word and has no mark at its end). A repeat is then removed if the run of neighbouring repeats it is in
+has at least `min_words` words.
 
 Only digests, ids and places are shuffled for grouping, counted before the shuffle; digests that
 occur once drop out. A digest with very many occurrences is a hot key of a join with a written
@@ -34,6 +36,7 @@ from plumbline.session import cut_lineage
 MIN_WORDS = 20
 #: Patterns of units: what stands between two boundaries.
 UNITS = {"line": r"[^\n]+", "paragraph": r"(?:[^\n]|\n(?!\s*\n))+", "sentence": r"[^\s.!?]++(?:[^\S\n]++(?![A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])[^\s.!?]++)*+"}
+WORD = r"[^\s.!?]+"
 LAST = (1 << 63) - 1
 
 
@@ -113,25 +116,128 @@ def merged(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def removals(text: str, lines: list[int], parts: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Original offsets of the repeated lines, and of the runs of other repeats that are long enough."""
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, without the marks that end sentences."""
+    return re.findall(WORD, text.lower())
+
+
+def windows(words: list[str], k: int) -> np.ndarray:
+    """A 64-bit hash of every k words in a row."""
+    import xxhash
+
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def anchors(h: np.ndarray, w: int) -> np.ndarray:
+    """Positions of the last minimum of every w neighbouring hashes: equal passages have equal anchors."""
+    n = len(h) - w + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    low, at = h[:n].copy(), np.arange(n)
+    for j in range(1, w):
+        less = h[j : j + n] <= low
+        low[less] = h[j : j + n][less]
+        at[less] = np.flatnonzero(less) + j
+    return np.unique(at)
+
+
+def covered(text: str, lines: list[int], k: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the given lines, starts and ends of words, and the windows that are inside one of the lines."""
     own = units(text, "line") if lines else []
-    return merged(text, [own[k][:2] for k in lines if k < len(own)] + stretches(text, parts, "sentence", min_words))
+    spans = [own[n][:2] for n in sorted(lines) if n < len(own)]
+    found = [m.span() for m in re.finditer(WORD, text)]
+    starts, ends = np.array(found, np.int64).reshape(-1, 2).T
+    inside = np.zeros(max(0, len(starts) - k + 1), bool)
+    for a, b in spans:
+        first, last = np.searchsorted(starts, [a, b])
+        inside[first : max(first, last - k + 1)] = True
+    return spans, starts, ends, inside
+
+
+def removals(text: str, lines: list[int], later: list[int], k: int, min_words: int) -> list[tuple[int, int]]:
+    """Original offsets of the repeated lines, and of the runs of repeated windows that have enough words."""
+    spans, starts, ends, gone = covered(text, lines, k)
+    at = np.array(later, np.int64)
+    gone[at[at < len(gone)]] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+    for first, last in zip(edge[::2], edge[1::2] + k - 1):  # words of a run
+        if last - first >= min_words:
+            end = int(ends[last - 1])
+            # Up to the next word if that stays, so that marks and blanks go along.
+            joined = last < len(starts) and "\n" not in text[end : starts[last]]
+            spans.append((int(starts[first]), int(starts[last]) if joined else _tail(text, end)))
+    return merged(text, spans)
+
+
+def passages(docs: DataFrame, lines: DataFrame, k: int, w: int) -> DataFrame:
+    """(id, lines, parts): parts are the windows of k words that occur earlier, if in w in a row; not those inside `lines`.
+
+    A passage of k + w - 1 words or more has the same anchors wherever it occurs. Only what is
+    fewer than w windows from a repeated anchor goes on to the comparison of all windows, which
+    finds where a passage starts and ends to the word.
+    """
+    keys = docs.select("id", "text").mapInArrow(_windowed(k, w, False), "id long, at array<int>, h array<long>")
+    keys = keys.select("id", F.inline(F.arrays_zip("at", "h")))
+    several = cut_lineage(keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    near = keys.join(several, "h").groupBy("id").agg(F.collect_set("at").alias("near"))
+    marks = cut_lineage(lines.join(near, "id", "full"))
+    every = docs.select("id", "text").join(marks.filter("near is not null"), "id")
+    every = every.select("id", "text", "near", "lines").mapInArrow(_windowed(k, w, True), "id long, at array<int>, h array<long>")
+    every = cut_lineage(every.select("id", F.inline(F.arrays_zip("at", "h"))))
+    first = F.min(F.struct("id", "at")).alias("first")
+    firsts = cut_lineage(every.groupBy("h").agg(F.count("*").alias("n"), first).filter("n > 1").select("h", "first"))
+    # In its own document, a repeat starts where the first occurrence has ended.
+    later = every.join(firsts, "h").filter((F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + k))
+    parts = later.groupBy("id").agg(F.collect_set("at").alias("parts"))
+    return marks.select("id", "lines").join(parts, "id", "full")
+
+
+def _windowed(k: int, w: int, all_near: bool):
+    """The anchors of each text, or all windows near the given ones and not inside the given lines."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole):
+                ats, hashes = [], []
+                for n, t in enumerate(batch.column("text").to_pylist()):
+                    h = windows(words_of(t), k)
+                    if all_near:
+                        near = np.array(batch.column("near")[n].as_py(), np.int64)
+                        ends = np.zeros(len(h) + 1, np.int64)
+                        np.add.at(ends, np.clip(near - w + 1, 0, len(h)), 1)
+                        np.add.at(ends, np.clip(near + w, 0, len(h)), -1)
+                        at = np.flatnonzero((np.cumsum(ends[:-1]) > 0) & ~covered(t, batch.column("lines")[n].as_py() or [], k)[3])
+                    else:
+                        at = anchors(h, w)
+                    ats.append(at)
+                    hashes.append(h[at])
+                cuts = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in ats])]), pa.int32())
+                at, h = np.concatenate(ats).astype(np.int32), np.concatenate(hashes).view(np.int64)
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (at, h)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "at", "h"])
+
+    return run
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (without the repeats), removed: array of start and end in the original text, in code points.
 
-    Without a unit, repeated lines of any length go, and runs of at least `min_words` words within lines;
+    Without a unit, repeated lines of any length go, and other passages of at least `min_words` words;
     with one, only runs of such units.
     """
     rows = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text")
     )
     given = rows.filter("text is not null").select("id", "text")
+    k = (min_words + 1) // 2
     if unit is None:
-        parts = repeats(given, "sentence").withColumnRenamed("places", "parts")
-        found = cut_lineage(repeats(given, "line").withColumnRenamed("places", "lines").join(parts, "id", "full"))
+        lines = repeats(given, "line").withColumnRenamed("places", "lines")
+        found = cut_lineage(passages(given, lines, k, min_words - k + 1))
     else:
         found = cut_lineage(repeats(given, unit).select("id", F.lit(None).cast("array<int>").alias("lines"), F.col("places").alias("parts")))
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
@@ -143,7 +249,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
             for batch in pieces(whole):
                 texts, removed = [], []
                 for t, l, p in zip(*(batch.column(c).to_pylist() for c in ("text", "lines", "parts"))):
-                    cut = [] if not t or not (l or p) else removals(t, l or [], p or [], min_words) if unit is None else stretches(t, p, unit, min_words)
+                    cut = [] if not t or not (l or p) else removals(t, l or [], p or [], k, min_words) if unit is None else stretches(t, p, unit, min_words)
                     at, kept = 0, []
                     for a, b in cut:
                         kept.append(t[at:a])

@@ -59,3 +59,27 @@ def test_short_lines_go_and_the_earliest_stays(documents):
     rows = [(i, f"Own words {i}\nAll rights  reserved.\nMore of {i}") for i in range(5)] + [(9, "ALL rights reserved.\n!!\n!!")]
     got = {r["doc_id"]: r["text"] for r in ud.dedup(documents(rows)).collect()}
     assert got == {0: rows[0][1], **{i: f"Own words {i}\n\nMore of {i}" for i in range(1, 5)}, 9: "\n!!\n"}
+
+
+def test_passages_that_start_and_end_in_mid_sentence(documents):
+    rng = random.Random(5)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    rows, passages = [], [own(n) for n in (20, 30, 60)]
+    for k, p in enumerate(passages):
+        rows.append((k, f"{own(15)} {p} {own(9)}."))
+        rows.append((10 + k, f"{own(3)} {p.title() if k == 1 else p} {own(12)}. {own(30)}"))
+        rows.append((20 + k, f"{own(4)}. {p.replace(' ', '. ', 1)}\n{own(5)}"))
+    short = own(19)
+    rows += [(30, f"{own(5)} {short} {own(5)}"), (31, f"{own(6)} {short} {own(6)}")]
+    got = {r["doc_id"]: r for r in ud.dedup(documents(rows)).collect()}
+    for i, t in rows:
+        cut = [t[r["start"] : r["end"]] for r in got[i]["removed"]]
+        expected = [passages[i % 10]] if 10 <= i < 30 else []
+        assert [" ".join(ud.words_of(c)) for c in cut] == expected, i
+
+
+def test_a_text_that_repeats_itself_keeps_the_first(documents):
+    rows = [(1, "las " * 100), (2, "las " * 40 + "\n" + "of it " * 30)]
+    got = {r["doc_id"]: ud.words_of(r["text"]) for r in ud.dedup(documents(rows)).collect()}
+    assert got[1] == ["las"] * 10
+    assert got[2][:2] == ["of", "it"] and len(got[2]) < 20

@@ -20,10 +20,10 @@ from plumbline.session import scratch_path
 _POLICY = assembly.Policy("target", None, "scale")
 
 
-def prepared(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Fold 0 held out, features fitted on the other folds."""
-    df = fx.stored_folded(spark, sf_dir)
-    train, held = df.filter("outer_fold <> 0"), df.filter("outer_fold = 0")
+def prepared(spark, sf_dir, fold: int = 0, df: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """One fold held out, features fitted on the other folds."""
+    df = fx.stored_folded(spark, sf_dir) if df is None else df
+    train, held = df.filter(F.col("outer_fold") != fold), df.filter(F.col("outer_fold") == fold)
     feats = assembly.fit_features(train, fx.ROLES, _POLICY, "y_log", "row_key")
     keep = ["row_key", "outer_fold", "features", "y_log", F.col("price").alias("y_true")]
     return feats.transform(train).select(*keep), feats.transform(held).select(*keep), feats.feature_names

@@ -53,11 +53,10 @@ def k2(spark, sf_dir):
 
 @query("d7_monotonicity_audit")
 def d7_audit(spark, sf_dir):
-    """Steps of a tree's curves against the expected direction."""
-    train, held, names = prepared(spark, sf_dir)
-    fitted = models.build_model("DecisionTree", {"max_depth": 5}).fit(train, "y_log")
-    store = [explain.Entry("DecisionTree", "DecisionTree", 0, fitted, held, names)]
-    return features.monotonicity_audit(explain.partial_dependence(store, "DecisionTree"))
+    """Steps of a tree's curves of all features and folds against the expected direction."""
+    store = _fold_entries(spark, sf_dir, "DecisionTree", {"max_depth": 5}, "tree")
+    every = list(range(len(store[0].feature_names)))
+    return features.monotonicity_audit(explain.partial_dependence(store, "DecisionTree", features=every))
 
 
 @query(

@@ -6,11 +6,12 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, scratch_path
 
 #: White space that separates words, as bytes: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
@@ -82,3 +83,42 @@ def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     share = 1.0 if total <= n else min(1.0, (n + 4 * n**0.5) / total)
     near = df if share >= 1 else df.filter(F.pmod(h, F.lit(span)) < int(share * span))
     return near.orderBy(F.pmod(h, F.lit(span)), *keys).limit(n)
+
+
+class Scratch:
+    """Tables in the shared folder that their owner removes again, at the latest with the `with` block.
+
+    A table is written once and read back, as with cut_lineage; frames that are still to be read after
+    the block don't belong here.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def write(self, df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
+        path = scratch_path(self.spark, "scratch")
+        self.paths.append(path)
+        df.write.partitionBy(*partition_by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, *paths: str) -> None:
+        for p in paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = [p for p in self.paths if p not in paths]
+
+
+def marked_slots(positions: DataFrame, slots: int) -> np.ndarray:
+    """Which of `slots` numbers occur in the only column, as booleans: slots / 8 bytes reach the driver at most."""
+    p = F.col(positions.columns[0]) + 1
+    bits = positions.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits"))
+    out = np.zeros(-(-slots // 32768) * 32768, bool)
+    for bucket, found in bits.toLocalIterator():
+        out[(bucket - 1) * 32768 : bucket * 32768] = np.unpackbits(np.frombuffer(bytes(found), np.uint8), bitorder="little").astype(bool)
+    return out[:slots]

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, near_dup, pii, quality, token_counts, toxicity, unit_dedup, warc
+from plumbline.llm import bpe, chat, collocations, decontaminate, near_dup, pii, quality, token_counts, toxicity, unit_dedup, warc
 from plumbline.llm.common import read_table
 from plumbline.llm.registry import query
 from plumbline.session import scratch_path
@@ -139,3 +139,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(read_table(spark, sf_dir, "documents"), ranks, pattern)
     decoded = bpe.decode(encoded, ranks, pattern)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_PIECES = "regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
+OP11_SQL = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest({_PIECES}) as piece from documents),
+q as (select lang, row_number() over () as piece, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+t as (select lang, piece, unnest(w) as w1, unnest(range(1, len(w) + 1)) as i from q),
+m as (select lang, w1, lead(w1) over pos as w2, lead(w1, 2) over pos as w3 from t window pos as (partition by piece order by i)),
+g as (select lang, 1 as k, w1 as phrase from m
+  union all select lang, 2, w1 || ' ' || w2 from m where w2 is not null
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from m where w3 is not null),
+f as materialized (select lang, k, phrase, count(*) as a from g group by all),
+c as materialized (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1 and a >= 10),
+cut as (select lang, k, phrase, a, w, unnest(range(1, k)) as cut from c),
+cuts as materialized (select lang, phrase, a, cut, array_to_string(w[1:cut], ' ') as head, array_to_string(w[cut + 1:], ' ') as tail from cut),
+scored as (select cuts.lang, cuts.phrase, cuts.a, cuts.cut, h.a as l, t.a as r,
+    1000000::hugeint * cuts.a * cuts.a // (h.a::hugeint * t.a) as score
+  from cuts join f h on h.lang = cuts.lang and h.phrase = cuts.head join f t on t.lang = cuts.lang and t.phrase = cuts.tail),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_ as (select lang, w[1] || ' ' || w[2] as phrase, a from c where k = 3 union all select lang, w[2] || ' ' || w[3], a from c where k = 3),
+most as (select lang, phrase, max(a) as longer from inner_ group by all),
+free as (select weakest.* from weakest left join most using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang)
+select free.lang, row_number() over (partition by free.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from free join n using (lang)
+qualify rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("text", "lang"))

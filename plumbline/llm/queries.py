@@ -7,10 +7,10 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, collocations, decontaminate, near_dup, pii, quality, token_counts, toxicity, unit_dedup, warc
+from plumbline.llm import bpe, chat, collocations, decontaminate, merkle, near_dup, pii, quality, token_counts, toxicity, unit_dedup, warc
 from plumbline.llm.common import read_table
 from plumbline.llm.registry import query
-from plumbline.session import scratch_path
+from plumbline.session import cut_lineage, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -171,3 +171,74 @@ qualify rank <= 2000
 @query("op11_collocations", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+_FRAME = "case when {0} is null then '-' else octet_length(encode({0}::varchar)) || ':' || {0}::varchar end"
+_LEAF = "sha256(" + " || ".join(_FRAME.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+#: Levels that the SQL spells out: up to 2 ** 20 documents of a language and 2 ** 5 languages.
+_LEVELS, _LANG_LEVELS = 20, 5
+
+
+def _levels(name: str, n: int) -> str:
+    """Node tables name0 .. name<n>: two neighbours become one, until one is left."""
+    up = "{name}{j} as materialized (select lang, i // 2 as i, (n + 1) // 2 as n, case when n = 1 then min(h) else sha256(string_agg(h, '' order by i)) end as h from {name}{k} group by lang, i // 2, n)"
+    return ",\n".join(up.format(name=name, j=k + 1, k=k) for k in range(n))
+
+
+def _climb(name: str, nodes: str, n: int) -> str:
+    """Proof tables name0 .. name<n>: the sibling, where there is one, joins the proof and the digest."""
+    up = """{name}{j} as (select f.* exclude (proof, g, i, n), proof || coalesce(s.h, '') as proof,
+  case when f.n = 1 then g when s.h is null then sha256(g) when f.i % 2 = 1 then sha256(s.h || g) else sha256(g || s.h) end as g,
+  f.i // 2 as i, (f.n + 1) // 2 as n
+  from {name}{k} f left join {nodes}{k} s on s.lang is not distinct from f.lang and s.i = xor(f.i, 1) and s.n = f.n)"""
+    return ",\n".join(up.format(name=name, nodes=nodes, j=k + 1, k=k) for k in range(n))
+
+
+OP12_SQL = f"""
+with crc_table as (select list(c order by v) as tab from (select v, list_reduce([v] || [0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as v))),
+crc as (select doc_id, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+  lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as c from (select distinct doc_id from documents), crc_table),
+d as (select documents.doc_id, lang, {_LEAF.format("n_chars")} as leaf,
+  case when c % 7 = 0 and n_chars is not null then {_LEAF.format("(n_chars + 1)")} else {_LEAF.format("n_chars")} end as given
+  from documents left join crc using (doc_id)),
+l as materialized (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from d),
+n0 as materialized (select lang, i, n, leaf as h from l),
+{_levels("n", _LEVELS)},
+r0 as materialized (select 'all' as lang, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n, h, lang as name from n{_LEVELS}),
+{_levels("r", _LANG_LEVELS)},
+f0 as (select doc_id, lang, leaf, given as g, '' as proof, i, n from l),
+{_climb("f", "n", _LEVELS)},
+s0 as (select f.doc_id, f.leaf, r0.h as subroot, 'all' as lang, f.proof, f.g, r0.i, r0.n from f{_LEVELS} f join r0 on r0.name is not distinct from f.lang),
+{_climb("s", "r", _LANG_LEVELS)}
+select doc_id, leaf, subroot, root.h as root, sha256(proof) as proof_sha256, g as folded_root, g = root.h as verified
+from s{_LANG_LEVELS} cross join r{_LANG_LEVELS} root
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    digest = merkle.leaf_digest(*fields)
+    changed = merkle.leaf_digest(*(F.col("n_chars") + 1 if c == "n_chars" else c for c in fields))
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    leaves = cut_lineage(
+        docs.select(
+            F.col("lang").alias("tree"),
+            F.col("doc_id").alias("key"),
+            digest.alias("leaf"),
+            F.struct("doc_id", F.when(tampered, changed).alias("changed")).alias("row"),
+        )
+    )
+    proofs = merkle.manifest(leaves).withColumn("given", F.coalesce("row.changed", "leaf"))
+    hexed = lambda c: F.lower(F.hex(c))
+    return merkle.folded(proofs, "given").select(
+        "row.doc_id",
+        hexed("leaf").alias("leaf"),
+        hexed("subroot").alias("subroot"),
+        hexed("root").alias("root"),
+        F.sha2(hexed("siblings"), 256).alias("proof_sha256"),
+        hexed("folded_root").alias("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, collocations, decontaminate, merkle, near_dup, pii, quality, token_counts, toxicity, unit_dedup, warc
+from plumbline.llm import bpe, chat, chunk_bpe, collocations, decontaminate, merkle, near_dup, pii, quality, token_counts, toxicity, unit_dedup, warc
 from plumbline.llm.common import read_table
 from plumbline.llm.registry import query
 from plumbline.session import cut_lineage, scratch_path
@@ -242,3 +242,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         hexed("folded_root").alias("folded_root"),
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query("op13_chunk_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.rank_file("byte_bpe_50k.json")
+    encoded = chunk_bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary)
+    decoded = chunk_bpe.decode(encoded, vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -134,14 +134,16 @@ def out_of_fold_encoding(
     return out
 
 
-def balanced_weights(df: DataFrame, level: str, column: str = "weight") -> DataFrame:
-    """n / (k * count(level)) per row."""
+def balanced_table(df: DataFrame, level: str, column: str = "weight") -> DataFrame:
+    """n / (k * count(level)) for each of the k levels; written, so that joins know its size."""
     counts = cut_lineage(df.groupBy(level).agg(F.count(F.lit(1)).alias("__c")))
     n, k = counts.agg(F.sum("__c"), F.count(F.lit(1))).first()
-    weights = counts.select(
-        level, (F.lit(float(n)) / (F.lit(float(k)) * F.col("__c"))).alias(column)
-    )
-    return join_on(df, weights, [level], "left")
+    return counts.select(level, (F.lit(float(n or 0)) / (F.lit(float(k or 1)) * F.col("__c"))).alias(column))
+
+
+def balanced_weights(df: DataFrame, level: str, column: str = "weight") -> DataFrame:
+    """n / (k * count(level)) per row."""
+    return join_on(df, balanced_table(df, level, column), [level], "left")
 
 
 def train_levels(train: DataFrame, col: str, bound: int = 10_000) -> list[str]:

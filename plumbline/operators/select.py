@@ -55,18 +55,21 @@ def moments_by(
     y: str,
     group: str | None = None,
     weigh: Weigh | None = None,
+    weight: str | None = None,
 ) -> dict[int, Moments]:
-    """Cross-product sums per integer group (or 0), one pass with one small row set per task.
+    """Cross-product sums per integer group (or 0), in one pass.
 
     ``features`` is a list of columns or the name of one array column. ``weigh`` gives row
-    weights from a batch's feature matrix and target.
+    weights from a batch's feature matrix and target, ``weight`` names a column of them. A task gives
+    one row for each group, the packed upper triangle, and those are added up in two steps.
     """
     if isinstance(features, str):
         x = [F.col(features).alias("x")]
     else:
         x = [F.array(*[F.col(c).cast("double") for c in features]).alias("x")]
     rows = df.select(
-        (F.col(group) if group else F.lit(0)).cast("int").alias("g"), *x, F.col(y).cast("double").alias("y")
+        (F.col(group) if group else F.lit(0)).cast("int").alias("g"), *x, F.col(y).cast("double").alias("y"),
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
     ).filter(F.col("g").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,27 +81,34 @@ def moments_by(
             if x.shape[1] > MAX_FEATURES:
                 raise ValueError(f"more than {MAX_FEATURES} features")
             data = np.column_stack([np.ones(len(y)), x, y])
-            weighted = data if weigh is None else data * weigh(x, y)[:, None]
+            w = pdf["w"].to_numpy(dtype=float) * (1.0 if weigh is None else weigh(x, y))
+            weighted = data * w[:, None]
             g = pdf["g"].to_numpy()
             for key in np.unique(g):
                 at = g == key
                 sums[int(key)] = sums.get(int(key), 0.0) + data[at].T @ weighted[at]
         for key, m in sums.items():
-            yield pd.DataFrame({"g": key, "cell": np.arange(m.size), "v": m.ravel()})
-
-    cells = (
-        rows.mapInPandas(partial, "g int, cell int, v double")
-        .groupBy("g", "cell")
-        .agg(F.sum("v").alias("v"))
-        .collect()
-    )
-    found: dict[int, dict[int, float]] = {}
-    for r in cells:
-        found.setdefault(r["g"], {})[r["cell"]] = r["v"]
+            yield pd.DataFrame({"g": [key], "sums": [m[np.triu_indices(len(m))].tobytes()]})
+
+    def added(frame: pd.DataFrame) -> bytes:
+        total = np.frombuffer(frame["sums"].iloc[0]).copy()
+        for s in frame["sums"].iloc[1:]:
+            total += np.frombuffer(s)
+        return total.tobytes()
+
+    def some(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [key[0]], "sums": [added(frame)]})
+
+    # A task's row is p * p / 2 numbers: groups of tasks are added up apart, then the groups.
+    told = rows.mapInPandas(partial, "g int, sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    step = told.groupBy("g", "part").applyInPandas(some, "g int, sums binary")
     out = {}
-    for g, values in sorted(found.items()):
-        side = round(len(values) ** 0.5)
-        out[g] = Moments(np.array([values[i] for i in range(side * side)]).reshape(side, side))
+    for r in sorted(step.groupBy("g").applyInPandas(some, "g int, sums binary").collect()):
+        packed = np.frombuffer(bytes(r["sums"]))
+        side = round(((8 * len(packed) + 1) ** 0.5 - 1) / 2)
+        full = np.zeros((side, side))
+        full[np.triu_indices(side)] = packed
+        out[r["g"]] = Moments(full + np.triu(full, 1).T)
     return out
 
 
@@ -234,24 +244,23 @@ def select_genetic(
 
 def quantile_regression(
     df: DataFrame, features: Sequence[str] | str, y: str, q: float = 0.75, alpha: float = 0.001,
-    rounds: int = 30, floor: float = 1e-4, tol: float = 1e-5,
+    rounds: int = 30, floor: float = 1e-4, tol: float = 1e-5, weight: str | None = None,
 ) -> tuple[np.ndarray, float]:
     """Pinball-loss linear fit by reweighted least squares; each round is one pass of sums.
 
     The weight of a row is the pinball slope over |residual|, so the weighted squares equal the
     pinball loss at the fixed point. The penalty is the L1 size, reweighted the same way.
     """
-    w, b = ridge(moments_by(df, features, y)[0], 0.0)
-    n = None
+    start = moments_by(df, features, y, weight=weight)[0]
+    n = start.n  # rows, or the sum of their weights
+    w, b = ridge(start, 0.0)
     for _ in range(rounds):
 
         def weigh(x: np.ndarray, t: np.ndarray, w=w, b=b) -> np.ndarray:
             r = t - x @ w - b
             return np.where(r >= 0, q, 1 - q) / np.maximum(np.abs(r), floor)
 
-        m = moments_by(df, features, y, weigh=weigh)[0].matrix
-        if n is None:
-            n = df.count()
+        m = moments_by(df, features, y, weigh=weigh, weight=weight)[0].matrix
         pull = np.r_[0.0, n * alpha / np.maximum(np.abs(w), 1e-8)]
         new = np.linalg.lstsq(m[:-1, :-1] + np.diag(pull), m[:-1, -1], rcond=None)[0]
         moved = np.max(np.abs(np.r_[b, w] - new))

@@ -51,10 +51,10 @@ def leaf_digest(*fields: str | Column) -> Column:
 
 
 class OpenTree:
-    """Subtrees that wait for a neighbour, and the witnesses of all leaves so far, for up to `room` leaves."""
+    """Subtrees that wait for a neighbour, and the witnesses of all leaves so far, for up to `room` leaves, which `height` levels lead up from."""
 
-    def __init__(self, room: int):
-        levels = max(room - 1, 1).bit_length() + 1
+    def __init__(self, room: int, height: int = 0):
+        levels = max((room - 1).bit_length(), height, 1)
         self.n = 0
         self.open: list[tuple[int, int, bytes]] = []  # height, first leaf, root
         self.witness = np.zeros((room, levels, 32), np.uint8)
@@ -133,10 +133,11 @@ def appended(nodes: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     def block(table: pa.Table) -> pa.Table:
         table = table.take(pa.compute.sort_indices(table.column("pos")))
         total = table.column("total")[0].as_py()
-        tree = OpenTree(table.num_rows)
+        height = block_bits if total > size else 0
+        tree = OpenTree(table.num_rows, height)
         for d in table.column("digest").to_pylist():
             tree.append(d)
-        top = tree.close(block_bits if total > size else 0)
+        top = tree.close(height)
         ways, siblings = tree.witnesses()
         kept = table.select([f.name for f in schema.fields])
         return (

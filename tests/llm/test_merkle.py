@@ -59,7 +59,7 @@ def run(spark, rows, bits):
     return m.manifest(leaves, bits)
 
 
-@pytest.mark.parametrize("bits", [1, 2, 12])
+@pytest.mark.parametrize("bits", [1, 2, 5, 12])
 def test_witnesses_equal_those_of_a_plain_tree(spark, bits):
     rows = [(i, "en", f"text {i}") for i in range(37)]
     rows += [(i, "de", "ß" * i) for i in range(8)] + [(1, None, None), (9, "", "x"), (None, "en", "no id"), (3, "en", "again"), (3, "en", "again")]

@@ -15,9 +15,12 @@ Only digests, ids and places are shuffled for grouping, counted before the shuff
 occur once drop out. A digest with very many occurrences is a hot key of a join with a written
 table, which Spark splits.
 
-Defined results: a null text stays null and has no units; an empty text stays empty; rows of one id
-count as one document, rows without id as one that ranks last: what their first place holds stays in
-all of them; an empty table gives an empty table; other columns are not carried.
+Documents rank by their id; where an id is missing (these rank last) or occurs more than once, by a
+hash of the text as well. Each such row is a document of its own.
+
+Defined results: a null text stays null and has no units; an empty text stays empty; rows that are equal
+in id and text are one document and keep the same; rows of one id with different texts, and rows
+without id, only lose what stays elsewhere; an empty table gives an empty table; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import in_small_batches, pieces
+from plumbline.llm.common import hash_bits, hash_found, in_small_batches, pieces
 from plumbline.session import cut_lineage
 
 MIN_WORDS = 20
@@ -51,7 +54,7 @@ def units(text: str, unit: str) -> list[tuple[int, int, int, str]]:
 
 
 def _keys(docs: DataFrame, unit: str) -> DataFrame:
-    """(id, place, h1, h2): a row for each unit."""
+    """(id, sub, place, h1, h2): a row for each unit."""
 
     def run(batches):
         import xxhash
@@ -66,20 +69,24 @@ def _keys(docs: DataFrame, unit: str) -> DataFrame:
                 h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 at = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(h[:, k]), pa.int64())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sub"), *lists], ["id", "sub", "a", "b"])
 
-    listed = docs.select("id", "text").mapInArrow(run, "id long, a array<long>, b array<long>")
-    each = listed.select("id", F.posexplode(F.arrays_zip("a", "b")).alias("place", "h"))
-    return each.select("id", "place", F.col("h.a").alias("h1"), F.col("h.b").alias("h2"))
+    listed = docs.select("id", "sub", "text").mapInArrow(run, "id long, sub long, a array<long>, b array<long>")
+    each = listed.select("id", "sub", F.posexplode(F.arrays_zip("a", "b")).alias("place", "h"))
+    return each.select("id", "sub", "place", F.col("h.a").alias("h1"), F.col("h.b").alias("h2"))
 
 
 def repeats(docs: DataFrame, unit: str) -> DataFrame:
-    """(id, places): the units of a document that occur earlier in the ranking."""
+    """(id, sub, places): the units of a document that occur earlier in the ranking."""
     keys = _keys(docs, unit)
-    first = F.min(F.struct("id", "place")).alias("first")
+    first = F.min(F.struct("id", "sub", "place")).alias("first")
     several = cut_lineage(keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).filter("n > 1").select("h1", "h2", "first"))
-    later = keys.join(several, ["h1", "h2"]).filter((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
-    return later.groupBy("id").agg(F.collect_set("place").alias("places"))
+    later = keys.join(several, ["h1", "h2"]).filter(_elsewhere() | (F.col("place") != F.col("first.place")))
+    return later.groupBy("id", "sub").agg(F.collect_set("place").alias("places"))
+
+
+def _elsewhere() -> Column:
+    return (F.col("id") != F.col("first.id")) | (F.col("sub") != F.col("first.sub"))
 
 
 def stretches(text: str, places: list[int], unit: str, min_words: int) -> list[tuple[int, int]]:
@@ -175,51 +182,66 @@ def removals(text: str, lines: list[int], later: list[int], k: int, min_words: i
 
 
 def passages(docs: DataFrame, lines: DataFrame, k: int, w: int) -> DataFrame:
-    """(id, lines, parts): parts are the windows of k words that occur earlier, if in w in a row; not those inside `lines`.
+    """(id, sub, lines, parts): parts are the windows of k words that occur earlier, if in w in a row; not those inside `lines`.
 
     A passage of k + w - 1 words or more has the same anchors wherever it occurs. Only what is
     fewer than w windows from a repeated anchor goes on to the comparison of all windows, which
-    finds where a passage starts and ends to the word.
+    finds where a passage starts and ends to the word. Which anchors are repeated reaches the
+    workers as a bit array of bounded size; anchors that only seem so bring more windows to compare.
     """
-    keys = docs.select("id", "text").mapInArrow(_windowed(k, w, False), "id long, at array<int>, h array<long>")
-    keys = keys.select("id", F.inline(F.arrays_zip("at", "h")))
+    keys = docs.select("text").mapInArrow(_anchored(k, w), "h array<long>").select(F.explode("h").alias("h"))
     several = cut_lineage(keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    near = keys.join(several, "h").groupBy("id").agg(F.collect_set("at").alias("near"))
-    marks = cut_lineage(lines.join(near, "id", "full"))
-    every = docs.select("id", "text").join(marks.filter("near is not null"), "id")
-    every = every.select("id", "text", "near", "lines").mapInArrow(_windowed(k, w, True), "id long, at array<int>, h array<long>")
-    every = cut_lineage(every.select("id", F.inline(F.arrays_zip("at", "h"))))
-    first = F.min(F.struct("id", "at")).alias("first")
+    bits = docs.sparkSession.sparkContext.broadcast(hash_bits(several, "h"))
+    every = docs.join(lines, ["id", "sub"], "left").select("id", "sub", "text", "lines")
+    every = every.mapInArrow(_compared(k, w, bits), "id long, sub long, at array<int>, h array<long>")
+    every = cut_lineage(every.select("id", "sub", F.inline(F.arrays_zip("at", "h"))))
+    first = F.min(F.struct("id", "sub", "at")).alias("first")
     firsts = cut_lineage(every.groupBy("h").agg(F.count("*").alias("n"), first).filter("n > 1").select("h", "first"))
     # In its own document, a repeat starts where the first occurrence has ended.
-    later = every.join(firsts, "h").filter((F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + k))
-    parts = later.groupBy("id").agg(F.collect_set("at").alias("parts"))
-    return marks.select("id", "lines").join(parts, "id", "full")
+    later = every.join(firsts, "h").filter(_elsewhere() | (F.col("at") >= F.col("first.at") + k))
+    parts = later.groupBy("id", "sub").agg(F.collect_set("at").alias("parts"))
+    return lines.join(parts, ["id", "sub"], "full")
+
+
+def _lists(values: list[np.ndarray], kind) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values).astype(kind)))
+
+
+def _anchored(k: int, w: int):
+    """The hashes of the anchors of each text."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole):
+                found = [windows(words_of(t), k) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([_lists([h[anchors(h, w)].view(np.int64) for h in found], np.int64)], ["h"])
+
+    return run
 
 
-def _windowed(k: int, w: int, all_near: bool):
-    """The anchors of each text, or all windows near the given ones and not inside the given lines."""
+def _compared(k: int, w: int, bits):
+    """All windows near repeated anchors and not inside the given lines."""
 
     def run(batches):
+        repeated = bits.value
         for whole in batches:
             for batch in pieces(whole):
                 ats, hashes = [], []
-                for n, t in enumerate(batch.column("text").to_pylist()):
+                for t, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):
                     h = windows(words_of(t), k)
-                    if all_near:
-                        near = np.array(batch.column("near")[n].as_py(), np.int64)
+                    near = anchors(h, w)
+                    near = near[hash_found(repeated, h[near])]
+                    at = np.zeros(0, np.int64)
+                    if len(near):
                         ends = np.zeros(len(h) + 1, np.int64)
                         np.add.at(ends, np.clip(near - w + 1, 0, len(h)), 1)
                         np.add.at(ends, np.clip(near + w, 0, len(h)), -1)
-                        at = np.flatnonzero((np.cumsum(ends[:-1]) > 0) & ~covered(t, batch.column("lines")[n].as_py() or [], k)[3])
-                    else:
-                        at = anchors(h, w)
+                        at = np.flatnonzero((np.cumsum(ends[:-1]) > 0) & ~covered(t, lines or [], k)[3])
                     ats.append(at)
-                    hashes.append(h[at])
-                cuts = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in ats])]), pa.int32())
-                at, h = np.concatenate(ats).astype(np.int32), np.concatenate(hashes).view(np.int64)
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (at, h)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "at", "h"])
+                    hashes.append(h[at].view(np.int64))
+                columns = [batch.column("id"), batch.column("sub"), _lists(ats, np.int32), _lists(hashes, np.int64)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "sub", "at", "h"])
 
     return run
 
@@ -233,13 +255,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     rows = in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text")
     )
-    given = rows.filter("text is not null").select("id", "text")
+    # Ids that don't name one row: none in most tables, so the join is by broadcast there.
+    many = cut_lineage(rows.groupBy("id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | (F.col("id") == LAST)).select("id"))
+    rows = rows.join(many.withColumn("many", F.lit(True)), "id", "left")
+    rows = rows.withColumn("sub", F.when(F.col("many"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("many")
+    given = rows.filter("text is not null").select("id", "sub", "text")
     k = (min_words + 1) // 2
     if unit is None:
         lines = repeats(given, "line").withColumnRenamed("places", "lines")
         found = cut_lineage(passages(given, lines, k, min_words - k + 1))
     else:
-        found = cut_lineage(repeats(given, unit).select("id", F.lit(None).cast("array<int>").alias("lines"), F.col("places").alias("parts")))
+        found = cut_lineage(repeats(given, unit).select("id", "sub", F.lit(None).cast("array<int>").alias("lines"), F.col("places").alias("parts")))
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("removed", ArrayType(span))])
 
@@ -258,4 +284,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
                     removed.append([{"start": a, "end": b} for a, b in cut])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, kind)], ["doc_id", "text", "removed"])
 
-    return rows.join(found, "id", "left").select("doc_id", "text", "lines", "parts").mapInArrow(run, schema)
+    return rows.join(found, ["id", "sub"], "left").select("doc_id", "text", "lines", "parts").mapInArrow(run, schema)

@@ -8,11 +8,12 @@ from plumbline.llm import unit_dedup as ud
 
 
 def plain(rows, unit, min_words):
+    """Rows in the order of their ids, those of one id and those without in any order: only one such pair has text here."""
     seen, places = {}, {}
     for key, text in sorted(((ud.LAST if i is None else i, t) for i, t in rows if t is not None), key=lambda x: x[0]):
         for k, u in enumerate(ud.units(text, unit)):
-            if seen.setdefault(u[3], (key, k)) != (key, k):
-                places.setdefault(key, set()).add(k)
+            if seen.setdefault(u[3], (key, text, k)) != (key, text, k):
+                places.setdefault((key, text), set()).add(k)
     return {key: sorted(p) for key, p in places.items()}
 
 
@@ -38,7 +39,7 @@ def test_removed_equals_plain(documents, unit):
     texts = sorted((str(i), str(t)) for i, t in rows)
     for r, (i, t) in zip(sorted(got, key=lambda r: (str(r["doc_id"]), str(r["text"]))), texts):
         assert str(r["doc_id"]) == i
-    by = {(i, t): ud.stretches(t, places.get(ud.LAST if i is None else i, []), unit, 20) for i, t in rows if t}
+    by = {(i, t): ud.stretches(t, places.get((ud.LAST if i is None else i, t), []), unit, 20) for i, t in rows if t}
     for (i, t), cut in by.items():
         r = next(r for r in got if r["doc_id"] == i and (r["text"] == t or r["removed"]))
         assert [(x["start"], x["end"]) for x in r["removed"]] == cut
@@ -83,3 +84,69 @@ def test_a_text_that_repeats_itself_keeps_the_first(documents):
     got = {r["doc_id"]: ud.words_of(r["text"]) for r in ud.dedup(documents(rows)).collect()}
     assert got[1] == ["las"] * 10
     assert got[2][:2] == ["of", "it"] and len(got[2]) < 20
+
+
+def test_rows_that_share_an_id_or_have_none_keep_their_own_text(documents):
+    rows = [
+        (1, "shared line\nfirst own"),
+        (None, "shared line\nnull one"),
+        (None, "something unique\nnull two"),
+        (5, "five unique head\nshared line"),
+        (5, "another head of five\nfive tail"),
+        (7, "said twice by seven"),
+        (7, "said twice by seven"),
+    ]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in ud.dedup(documents(rows)).collect())
+    assert got == sorted(
+        [
+            ("1", "shared line\nfirst own"),
+            ("None", "\nnull one"),
+            ("None", "something unique\nnull two"),
+            ("5", "five unique head\n"),
+            ("5", "another head of five\nfive tail"),
+            ("7", "said twice by seven"),
+            ("7", "said twice by seven"),
+        ]
+    )
+
+
+def test_the_registered_path_against_a_plain_pass(documents):
+    """Lines and passages as the query removes them: every line that stands earlier, and runs of words that do."""
+    rng = random.Random(11)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    shared, lines = [own(n) for n in (20, 25, 55)], [own(n) for n in (1, 4, 30)]
+    rows = []
+    for i in range(24):
+        parts = [own(rng.randint(5, 30)) for _ in range(3)]
+        if i % 2:
+            parts[1] = f"{own(rng.randint(1, 9))} {shared[i % 3]} {own(rng.randint(1, 9))}"
+        if i % 3 == 0:
+            parts.insert(rng.randrange(4), lines[(i // 3) % 3])
+        rows.append((i if i % 8 else None, "\n".join(parts)))
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    seen_lines, seen, expected = set(), set(), {}
+    with_id = [r for r in order if r[0] is not None]
+    for i, t in with_id:
+        gone = set()
+        words = [(m, n) for n, line in enumerate(t.split("\n")) for m in line.split()]
+        at = 0
+        for n, line in enumerate(t.split("\n")):
+            size = len(line.split())
+            if line in seen_lines:
+                gone.update(range(at, at + size))
+            at += size
+        flat = [m for m, _ in words]
+        hit = [tuple(flat[j : j + 10]) in seen for j in range(len(flat) - 9)]
+        j = 0
+        while j < len(hit):
+            e = j
+            while e < len(hit) and hit[e]:
+                e += 1
+            if e - j + 9 >= 20:
+                gone.update(range(j, e + 9))
+            j = max(e, j + 1)
+        expected[i] = [m for n, m in enumerate(flat) if n not in gone]
+        seen_lines.update(t.split("\n"))
+        seen.update(tuple(flat[j : j + 10]) for j in range(len(flat) - 9))
+    got = {r["doc_id"]: r["text"].split() for r in ud.dedup(documents(rows)).collect() if r["doc_id"] is not None}
+    assert got == expected

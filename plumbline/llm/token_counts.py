@@ -1,11 +1,11 @@
 """Token counts by a two-tier lookup, without a shuffle of pre-tokens.
 
-A first pass over all texts keeps, in every task, a bounded summary of frequent pre-tokens; the
-summaries are added up and the most frequent pre-tokens of all documents, with their token
-lengths, form the compact table that is broadcast (at most `table_size` entries of at most
-`WORD_LIMIT` characters). The second pass looks every pre-token up in that table; misses are
-encoded by the library, together for a slice of texts, and kept in a bounded cache of the worker.
-The table decides only the speed: a pre-token's length is the library's in either tier.
+The pre-tokens that are most frequent in a bounded sample of the texts (`SAMPLE` texts, those with the
+smallest hashes) form, with their token lengths, the compact table that is broadcast (at most
+`table_size` entries of at most `WORD_LIMIT` characters). One pass over all texts looks every
+pre-token up in that table; misses are encoded by the library, together for a slice of texts, and kept
+in a bounded cache of the worker. The table decides only the speed: a pre-token's length is the
+library's in either tier.
 
 Defined results: a null or empty text has 0 tokens; special strings inside a text become one token
 each, the library's default; a null id stays; repeated rows are counted each; an empty table gives
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import once, pieces, texts
-from plumbline.session import cut_lineage
+from plumbline.llm.common import hashed_sample, once, pieces, texts
 
-#: Entries of the broadcast table, of each task's summary, and of a worker's cache.
-TABLE_SIZE, SUMMARY_SIZE, CACHE_SIZE = 40_000, 20_000, 400_000
+#: Entries of the broadcast table and of a worker's cache.
+TABLE_SIZE, CACHE_SIZE = 40_000, 400_000
+#: Texts that the table is fitted on, of at most so many characters each.
+SAMPLE, SAMPLE_LENGTH = 2_000, 20_000
 #: Longer pre-tokens are always encoded: neither the table nor the cache holds them.
 WORD_LIMIT = 64
 #: Up to here the library's pattern tables and those below agree for every character (tested); texts
@@ -81,36 +82,25 @@ def splitter(path: str) -> Splitter:
     return once(("splitter", path), lambda: Splitter(path))
 
 
-def _pruned(counts: Counter, size: int) -> Counter:
-    """The `size` largest, less the count of the first one left out: frequent words can't be lost by it."""
-    top = counts.most_common(size + 1)
-    floor = top[size][1] if len(top) > size else 0
-    return Counter({w: n - floor for w, n in top[:size] if n > floor})
+def frequent_lengths(rows: DataFrame, vocabulary: Callable[[], str], table_size: int = TABLE_SIZE, sample: int = SAMPLE) -> dict[str, int]:
+    """Token lengths of the most frequent pre-tokens of the `sample` texts with the smallest hashes.
 
-
-def frequent_lengths(
-    rows: DataFrame, vocabulary: Callable[[], str], table_size: int = TABLE_SIZE, summary_size: int = SUMMARY_SIZE
-) -> dict[str, int]:
-    """Token lengths of the most frequent pre-tokens of all texts."""
+    The sample depends on the rows alone, and is counted where it is gathered: no pre-token is shuffled.
+    """
 
     def run(batches):
         s, counts = splitter(vocabulary()), Counter()
         for whole in batches:
             for batch in pieces(whole):
                 for t in batch.column("text").to_pylist():
-                    counts.update(s.parts(t)[0])
-                    if len(counts) > 10 * summary_size:
-                        counts = _pruned(counts, summary_size)
-        top = [(w, n) for w, n in _pruned(counts, summary_size).items() if len(w) <= WORD_LIMIT]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    found = rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = cut_lineage(found)
-    total = found.agg(F.sum("n")).first()[0] or 0
-    # At most 10 * table_size words can have that share: what reaches the driver is bounded.
-    often = found.filter(F.col("n") * (10 * table_size) >= total)
-    words = [r["word"] for r in often.orderBy(F.desc("n"), "word").limit(table_size).collect()]
-    return dict(zip(words, splitter(vocabulary()).lengths(words))) if words else {}
+                    counts.update(w for w in s.parts(t)[0] if len(w) <= WORD_LIMIT)
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:table_size]
+        words = [w for w, _ in top]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(s.lengths(words) if words else [], pa.int64())], ["word", "n"])
+
+    short = rows.filter(F.length("text") <= SAMPLE_LENGTH)
+    drawn = hashed_sample(short, sample, "doc_id", "text").select("text").coalesce(1)
+    return {r["word"]: r["n"] for r in drawn.mapInArrow(run, "word string, n long").collect()}
 
 
 def count_tokens(

@@ -43,7 +43,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), bpe.rank_file("byte_bpe_50k.json"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "n_pretokens", "n_misses")
 
 
 @query("op4_near_dup")
@@ -74,9 +74,10 @@ counts as (select w.doc_id, len(words) as n_words, length(regexp_replace(text, '
 voted as materialized (select *, {quality.vote_sql()} as votes from counts),
 patterns as materialized (select votes, count(*) as n from voted group by votes),
 {quality.fit_sql("patterns")}
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, votes, round(p, 6) as posterior,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) and p >= 0.5 as kept
+  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) and p >= 0.5 as kept,
+  votes, round(p, 6) as posterior
 from voted join posteriors using (votes)
 """
 
@@ -85,7 +86,7 @@ from voted join posteriors using (votes)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("row.doc_id", *counts, "votes", F.round("posterior", 6).alias("posterior"), "base_failed", "kept")
+    return judged.select("row.doc_id", *counts, "base_failed", "kept", "votes", F.round("posterior", 6).alias("posterior"))
 
 
 OP7_SQL = f"""

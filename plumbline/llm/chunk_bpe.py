@@ -31,18 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_small_batches, marked_slots, once, pieces
-from plumbline.llm.token_counts import CACHE_SIZE, WORD_LIMIT, Splitter, splitter
+from plumbline.llm.common import cut_dense, hash_bits, hash_found, in_small_batches, once, pieces
+from plumbline.llm.token_counts import WORD_LIMIT, Splitter, splitter
 from plumbline.session import cut_lineage
 
 #: Bytes of a chunk: at least, about (a power of two), at most.
 LEAST, USUAL, MOST = 256, 1024, 16_384
 #: Bytes that a boundary must stand before the end of what was seen; the pattern looks three characters ahead at most.
 MARGIN = 12
+#: Words that a worker keeps.
+CACHE_SIZE = 200_000
 #: Bytes of the right part that the first repair looks at.
 WINDOW = 32
-#: Bits of the array of shared chunks: at most 16 MB are broadcast.
-MOST_BITS = 1 << 27
 
 
 def _gear() -> np.ndarray:
@@ -252,19 +252,6 @@ def shared_chunks(rows: DataFrame, vocabulary: Callable[[], str], sizes: tuple[i
     return digests.groupBy("hi", "lo").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def _bits(shared: DataFrame, n: int) -> np.ndarray:
-    size = 1 << 16
-    while size < min(16 * n, MOST_BITS):
-        size *= 2
-    both = F.explode(F.array(F.col("hi").bitwiseAND(F.lit(size - 1)), F.col("lo").bitwiseAND(F.lit(size - 1))))
-    return np.packbits(marked_slots(shared.select(both), size), bitorder="little")
-
-
-def _is_set(bits: np.ndarray, h: int) -> bool:
-    h &= 8 * len(bits) - 1
-    return bool(bits[h >> 3] >> (h & 7) & 1)
-
-
 def encode(
     docs: DataFrame,
     vocabulary: Callable[[], str],
@@ -278,8 +265,8 @@ def encode(
     rows = _rows(docs, id_col, text_col)
     sc = rows.sparkSession.sparkContext
     shared = cut_lineage(shared_chunks(rows, vocabulary, sizes))
-    n_shared, n_places = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = sc.broadcast(_bits(shared, n_shared))
+    n_places = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = sc.broadcast(hash_bits(shared, "hi", "lo"))
 
     def take_apart(batches):
         """Rows of each document's parts: encoded in place, or the digest of a shared chunk, with its text where the task meets it first."""
@@ -294,9 +281,11 @@ def encode(
                             parts.append((True, None, None, s))
                             continue
                         data, at, apart, open_ = s.encode(), 0, True, -1
-                        for c in cuts(data, *sizes):
-                            hi, lo = digest(data[at:c])
-                            if _is_set(known, hi) and _is_set(known, lo):
+                        ends = cuts(data, *sizes)
+                        pairs = np.array([digest(data[a:b]) for a, b in zip([0, *ends], ends)], np.int64).reshape(-1, 2)
+                        again = hash_found(known, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+                        for c, (hi, lo), met_again in zip(ends, pairs.tolist(), again.tolist()):
+                            if met_again:
                                 parts.append((apart, hi, lo, data[at:c]))
                                 open_ = -1
                             elif open_ >= 0:
@@ -327,7 +316,7 @@ def encode(
                 yield _batch(out, MIXED)
 
     mixed = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(take_apart, MIXED)
-    mixed = cut_lineage(mixed)
+    mixed = cut_dense(mixed)
 
     def encode_chunks(batches):
         e = encoder(vocabulary())
@@ -339,7 +328,7 @@ def encode(
             yield _batch(out, CODED)
 
     chunks = mixed.filter("text is not null").groupBy("hi", "lo").agg(F.first("text").alias("text"))
-    coded = cut_lineage(chunks.mapInArrow(encode_chunks, CODED))
+    coded = cut_dense(chunks.mapInArrow(encode_chunks, CODED))
     places = mixed.filter("hi is not null").select("row", "doc_id", "seq", "apart", "hi", "lo")
     # At most a thousand chunks have more than a thousandth of all places each.
     hot = F.broadcast(cut_lineage(shared.filter(F.col("n") * 1000 > n_places).select("hi", "lo")))
@@ -383,11 +372,12 @@ def encode(
     assembled = by_row.mapInArrow(put_together, CLOSED)
     whole = mixed.filter("parts = 1 and hi is null").select("doc_id", "ids")
 
+    narrow = encoder(vocabulary()).type
+
     def widened(batches):
-        e = encoder(vocabulary())
         for b in batches:
             for p in pieces(b, "ids"):
-                ids = [np.frombuffer(x, e.type).astype("<u4") for x in p.column("ids").to_pylist()]
+                ids = [np.frombuffer(x, narrow).astype("<u4") for x in p.column("ids").to_pylist()]
                 out = [(d, len(x), x.tobytes()) for d, x in zip(p.column("doc_id").to_pylist(), ids)]
                 yield _batch(out, ENCODED)
 
@@ -418,7 +408,7 @@ def decode(encoded: DataFrame, vocabulary: Callable[[], str]) -> DataFrame:
     """Adds `decoded`, the text that the library decodes, special tokens included."""
 
     def run(batches):
-        library = encoder(vocabulary()).split.library
+        library = splitter(vocabulary()).library
         for whole in batches:
             for b in pieces(whole, "ids"):
                 ids = [np.frombuffer(x or b"", "<u4").tolist() for x in b.column("ids").to_pylist()]

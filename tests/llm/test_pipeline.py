@@ -55,12 +55,23 @@ def test_odd_rows_pass_all_stages(spark):
         assert sorted(str(r["doc_id"]) for r in now.collect()) == ([] if empty else ["1", "None"])
 
 
-@pytest.mark.parametrize("name", ["op6_quality_rules", "op7_warc"])
+def test_names_that_the_stage_uses_and_rows_of_one_id(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, 1, 1, "x"), (1, b, 2, 2, "x"), (1, a, 1, 1, "x"), (2, b, 3, 3, "x"), (3, c, 4, 4, "x"), (4, a, 5, 5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, place int, place_ string")
+    out = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == sorted(rows[i] for i in (0, 1, 4))
+
+
+@pytest.mark.parametrize("name", ["op6_quality_rules", "op7_warc", "op11_collocations", "op12_merkle_manifest"])
 def test_query_equals_its_sql(spark, name):
     assert compare(queries()[name](spark, SMALL), connect(SMALL), oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)])
+@pytest.mark.parametrize("name", [f"op{n}_" for n in (*range(1, 11), 12, 13)])
 def test_query_returns_every_row(spark, name):
     full = next(q for q in queries() if q.startswith(name))
     table = {"op5_": "conversations", "op7_": "pages"}.get(name, "documents")

@@ -2,9 +2,8 @@
 
 A plain window sorts a whole group in one task and the built-in exact percentile holds all
 distinct values of a group in one buffer. Both break when one group holds a third of the table.
-The functions here count equal values first (map-side combine) and then either cut the value
-range of a group into slices that are sorted independently (ranks), or keep only a narrow
-bracket around the wanted quantile (percentiles).
+The functions here count equal values first (map-side combine), keep only a narrow bracket around the
+wanted quantile (percentiles), and order what is left by a sample sort with carried totals.
 """
 
 from __future__ import annotations
@@ -29,65 +28,58 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+#: Counted rows that one task orders.
+TARGET_ROWS = 250_000
+
+
 def ordered_counts(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     weight: Column | None = None,
     extra: dict[str, Column] | None = None,
-    slices: int = 64,
     neighbours: bool = False,
-    small: int = 1_000_000,
+    target: int | None = None,
 ) -> DataFrame:
     """One row per (keys, value): ``cnt`` rows with it, ``before`` rows with a smaller value.
 
-    The counts are written once. Up to ``small`` rows in all, a plain window orders each group;
-    beyond that, groups are cut into slices of the value range which are ordered on their own.
-    Cut points are the ``slices - 1`` distinct values with the smallest hash: a sample that
-    depends on the data alone, so a recomputed task makes the same cuts. Rows of weight 0 are
-    placed but not counted. ``neighbours`` adds ``below``, the largest smaller counted value,
-    and ``at_least``, the smallest counted value that is not smaller.
+    Equal values are counted first, then ``placed`` orders the counts.
     """
     keys = list(keys)
     weight = F.lit(1) if weight is None else weight
     extra = extra or {}
-    counts = cut_lineage(
-        df.groupBy(*keys, value).agg(
-            F.sum(weight).cast("bigint").alias("cnt"), *[c.alias(n) for n, c in extra.items()]
-        )
-    )
+    counts = df.groupBy(*keys, value).agg(F.sum(weight).cast("bigint").alias("cnt"), *[c.alias(n) for n, c in extra.items()])
+    return placed(counts, keys, value, neighbours, target)
+
+
+def placed(counts: DataFrame, keys: Sequence[str], value: str, neighbours: bool = False, target: int | None = None) -> DataFrame:
+    """Adds ``before``, the sum of ``cnt`` over smaller values, to rows that are unique in (keys, value).
+
+    A sample sort: all rows are spread by range of (keys, value), about ``target`` to a partition;
+    each partition adds up its own stretch of a group, and the totals of a group's earlier partitions are
+    carried over. No task orders more than a partition, however large a group is, and the way is
+    the same at every size. Rows of weight 0 are placed but not counted. ``neighbours`` adds ``below``, the
+    largest smaller counted value, and ``at_least``, the smallest counted value that is not smaller.
+    """
+    keys = list(keys)
+    counts = cut_lineage(counts)
+    parts = max(1, -(-counts.count() // (target or TARGET_ROWS)))
+    # Written: the bounds come from a sample, so that another evaluation could cut elsewhere.
+    ranged = cut_lineage(counts.repartitionByRange(parts, *keys, value).withColumn("__part", F.spark_partition_id()))
     counted = F.when(F.col("cnt") > 0, F.col(value))
-    if counts.count() <= small:
-        whole = W.partitionBy(*keys).orderBy(value)
-        ahead, onward = whole.rowsBetween(W.unboundedPreceding, -1), whole.rowsBetween(0, W.unboundedFollowing)
-        out = counts.withColumn("before", F.coalesce(F.sum("cnt").over(ahead), F.lit(0)).cast("bigint"))
-        if neighbours:
-            out = out.withColumns({"below": F.max(counted).over(ahead), "at_least": F.min(counted).over(onward)})
-        return out
-    by_hash = W.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
-    # at most ``slices`` values per group; written, so that a small table is broadcast by its size
-    cuts = cut_lineage(
-        counts.select(*keys, value)
-        .withColumn("__rn", F.row_number().over(by_hash))
-        .filter(F.col("__rn") < slices)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(value)).alias("__cuts"))
-    )
-    sliced = join_on(counts, cuts, keys).withColumn(
-        "__slice", F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    ).drop("__cuts")
-    in_order = W.partitionBy(*keys).orderBy("__slice")
+    in_order = W.partitionBy(*keys).orderBy("__part")
     earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
     later = in_order.rowsBetween(1, W.unboundedFollowing)
-    inside = W.partitionBy(*keys, "__slice").orderBy(value)
+    inside = W.partitionBy(*keys, "__part").orderBy(value)
     inside_before = inside.rowsBetween(W.unboundedPreceding, -1)
     inside_from = inside.rowsBetween(0, W.unboundedFollowing)
-    totals = sliced.groupBy(*keys, "__slice").agg(
+    totals = ranged.groupBy(*keys, "__part").agg(
         F.sum("cnt").alias("__n"), F.max(counted).alias("__hi"), F.min(counted).alias("__lo")
     )
+    # One row for each group and partition that meet: at most groups + partitions.
     offsets = totals.select(
         *keys,
-        "__slice",
+        "__part",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"),
         *(
             [F.max("__hi").over(earlier).alias("__left"), F.min("__lo").over(later).alias("__right")]
@@ -96,7 +88,7 @@ def ordered_counts(
         ),
     )
     before = F.col("__offset") + F.coalesce(F.sum("cnt").over(inside_before), F.lit(0))
-    out = join_on(sliced, offsets, [*keys, "__slice"]).withColumn("before", before.cast("bigint"))
+    out = join_on(ranged, cut_lineage(offsets), [*keys, "__part"]).withColumn("before", before.cast("bigint"))
     if neighbours:
         out = out.withColumns(
             {
@@ -104,7 +96,7 @@ def ordered_counts(
                 "at_least": F.coalesce(F.min(counted).over(inside_from), F.col("__right")),
             }
         )
-    return out.drop("__slice", "__offset", "__left", "__right")
+    return out.drop("__part", "__offset", "__left", "__right")
 
 
 def average_rank(cnt: str = "cnt", before: str = "before") -> Column:
@@ -118,12 +110,13 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     accuracy: int = 10_000,
+    target: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group; one row per group, one column per entry of ``probs``.
 
     A sketch brackets each quantile. Smaller values collapse into one counter, larger ones are
-    dropped and the roughly ``4/accuracy`` of the group inside the bracket is ordered exactly.
-    Nulls and NaNs are ignored. At least one key is needed.
+    dropped and the roughly ``6/accuracy`` of the group inside the bracket is counted by value and
+    ordered exactly, ``target`` values to a task. Nulls and NaNs are ignored. At least one key is needed.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(
@@ -163,19 +156,17 @@ def exact_quantiles(
     bounds = cut_lineage(bounds.select(*keys, specs.alias("__specs")))
     bracketed = (
         join_on(rows, bounds, keys)
-        .select(*keys, "__v", F.explode("__specs").alias("s"))
-        .filter(F.col("__v") <= F.col("s.hi"))
+        .select(*keys, "__v", F.explode(F.filter("__specs", lambda x: F.col("__v") <= x["hi"])).alias("s"))
         .groupBy(
             *keys,
             F.col("s.name").alias("__name"),
             F.col("s.pos").alias("__pos"),
             F.when(F.col("__v") < F.col("s.lo"), F.lit(None)).otherwise(F.col("__v")).alias("__v"),
         )
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    seen = W.partitionBy(*keys, "__name").orderBy(F.col("__v").asc_nulls_first())
-    ranked = bracketed.withColumn("__end", F.sum("__c").over(seen)).withColumn(
-        "__start", F.col("__end") - F.col("__c")
+    ranked = placed(bracketed, [*keys, "__name"], "__v", target=target).select(
+        *keys, "__name", "__pos", "__v", F.col("before").alias("__start"), (F.col("before") + F.col("cnt")).alias("__end")
     )
     low, high = F.floor("__pos"), F.ceil("__pos")
 

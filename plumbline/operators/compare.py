@@ -82,7 +82,7 @@ def paired_p_values(diffs: DataFrame, keys: Sequence[str], d: str = "d") -> Data
         F.count_if(F.col(d) == 0).alias("__zeros"),
     )
     magnitudes = diffs.filter(F.col(d) != 0).withColumn("__a", F.abs(d))
-    ranked = ordered_counts(magnitudes, keys, "__a", extra={"__pos": F.count_if(F.col(d) > 0)}, slices=16)
+    ranked = ordered_counts(magnitudes, keys, "__a", extra={"__pos": F.count_if(F.col(d) > 0)})
     c = F.col("cnt").cast("double")
     ranks = ranked.groupBy(*keys).agg(
         F.sum("cnt").alias("__n"),

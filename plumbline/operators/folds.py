@@ -23,11 +23,11 @@ def with_exact_folds(
 ) -> DataFrame:
     """Shuffled folds whose sizes differ by at most one; ``key`` must be unique.
 
-    The global position comes from independently sorted slices, not from one big sort.
+    The global position comes from independently sorted ranges, not from one big sort.
     """
     keyed = df.select(F.lit(0).alias("__all"), F.concat(seeded_digest(key, seed), F.col(key).cast("string")).alias("__h"), F.col(key).alias("__k"))
     position = ordered_counts(
-        keyed, ["__all"], "__h", extra={"__k": F.first("__k")}, slices=256
+        keyed, ["__all"], "__h", extra={"__k": F.first("__k")}
     ).select(F.col("__k"), (F.col("before") % k).cast("int").alias(column))
     return df.join(position, df[key] == position["__k"]).drop("__k")
 
@@ -75,7 +75,7 @@ def sample_per_group(df: DataFrame, groups: Sequence[str], key: str, n: int, see
 def evenly_spaced(sample: DataFrame, order_by: Sequence[str], m: int, groups: Sequence[str] = ()) -> DataFrame:
     """m rows at floor(linspace(0, n-1, m)) of each group (or of all rows), with their position.
 
-    Keys are ranked by counts in slices, so no task orders a whole group. Rows with equal keys share
+    Keys are ranked by counts in ranges, so no task orders a whole group. Rows with equal keys share
     their first position.
     """
     by = list(groups) or ["__all"]

@@ -349,7 +349,7 @@ def median_pruning(
     )
     placed = join_on(best, position, [*keys, "trial_number"])
     size = placed.groupBy(*keys).agg(F.max("pos").alias("__last"))
-    placed = join_on(placed, size, keys)
+    placed = join_on(placed, cut_lineage(size), keys)  # written: its small size is known
     levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("__last") + 1)).cast("int"))
     data = placed.filter("__done").select(*keys, "pos", "loss", F.explode(levels).alias("lev")).select(
         *keys, "lev", F.expr("shiftright(pos, lev)").alias("blk"), F.col("loss").alias("v")

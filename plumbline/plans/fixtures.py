@@ -9,7 +9,7 @@ from plumbline.functions.ordering import exact_quantiles, join_on
 from plumbline.operators.encode import out_of_fold_encoding
 from plumbline.operators.folds import with_folds
 from plumbline.operators.schema import Roles, log_target
-from plumbline.session import cut_lineage, spread
+from plumbline.session import cut_lineage
 
 SEED, FOLDS = 42, 5
 NUMERIC = ("year", "mileage", "tax", "mpg", "engineSize")
@@ -34,11 +34,11 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
     """Regression table: one row per line item with its order and part.
 
-    ``even`` spreads a line item table of few files, which pays off before heavy work only.
+    ``even`` spreads the line items by order before heavy work; the join with orders needs them so anyway.
     """
     l, o, p = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     if even:
-        l = spread(l, "l_orderkey", "l_partkey", "l_suppkey")
+        l = l.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     key = F.concat_ws(
         "_", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("bigint"),

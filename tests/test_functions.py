@@ -17,25 +17,25 @@ def test_exact_quantiles_small_groups_nulls_and_ties(spark):
         assert [got[g]["q1"], got[g]["q2"], got[g]["q3"]] == pytest.approx(list(want))
 
 
-@pytest.mark.parametrize("accuracy", [50, 200])
-def test_exact_quantiles_through_the_bracket(spark, accuracy):
+@pytest.mark.parametrize(("accuracy", "target"), [(50, 50), (200, 10**6), (4, 50)])
+def test_exact_quantiles_through_the_bracket(spark, accuracy, target):
     """Groups larger than the sketch accuracy take the bracketed way and stay exact."""
     rng = np.random.default_rng(0)
     values = np.concatenate([rng.lognormal(size=4000), np.full(1500, 1.0)])
     df = spark.createDataFrame([(0, float(v)) for v in values], "g int, v double").repartition(5)
     probs = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p73": 0.731, "p100": 1.0}
-    row = ordering.exact_quantiles(df, ["g"], "v", probs, accuracy=accuracy).first()
+    row = ordering.exact_quantiles(df, ["g"], "v", probs, accuracy=accuracy, target=target).first()
     for n, p in probs.items():
         assert row[n] == pytest.approx(np.percentile(values, 100 * p), rel=1e-12)
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_ordered_counts_against_brute_force(spark, small):
-    """In slices and, for small tables, in one window."""
+@pytest.mark.parametrize("target", [50, 10**6])
+def test_ordered_counts_against_brute_force(spark, target):
+    """With a few values to a task and with all in one."""
     rng = np.random.default_rng(1)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), rng.integers(0, 200, 900))]
     df = spark.createDataFrame(rows, "g int, v double")
-    for r in ordering.ordered_counts(df, ["g"], "v", slices=7, neighbours=True, small=small).collect():
+    for r in ordering.ordered_counts(df, ["g"], "v", neighbours=True, target=target).collect():
         mine = [v for g, v in rows if g == r["g"]]
         assert r["cnt"] == mine.count(r["v"])
         assert r["before"] == sum(v < r["v"] for v in mine)
@@ -43,10 +43,10 @@ def test_ordered_counts_against_brute_force(spark, small):
         assert r["at_least"] == r["v"]
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_ordered_counts_null_keys_and_weight_zero(spark, small):
+@pytest.mark.parametrize("target", [50, 10**6])
+def test_ordered_counts_null_keys_and_weight_zero(spark, target):
     df = spark.createDataFrame([(None, 1.0, 1), (None, 2.0, 0), (None, 3.0, 1)], "g string, v double, w int")
-    got = {r["v"]: r for r in ordering.ordered_counts(df, ["g"], "v", weight=F.col("w"), neighbours=True, small=small).collect()}
+    got = {r["v"]: r for r in ordering.ordered_counts(df, ["g"], "v", weight=F.col("w"), neighbours=True, target=target).collect()}
     assert got[2.0]["before"] == 1 and got[2.0]["below"] == 1.0 and got[2.0]["at_least"] == 3.0
 
 

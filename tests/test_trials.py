@@ -78,11 +78,11 @@ def test_best_trial_and_missing_completion(spark):
         trials.best_trials(spark.createDataFrame(rows[2:], schema)).collect()
 
 
-@pytest.mark.parametrize(("ties", "small"), [(False, 10**6), (True, 10**6), (True, 0)])
-def test_median_pruning_against_brute_force(spark, monkeypatch, ties, small):
+@pytest.mark.parametrize(("ties", "target"), [(False, 10**6), (True, 10**6), (True, 50)])
+def test_median_pruning_against_brute_force(spark, monkeypatch, ties, target):
     """Ties included; once with every ordering forced through value slices."""
     plain = trials.ordered_counts
-    monkeypatch.setattr(trials, "ordered_counts", lambda *a, **k: plain(*a, **k, small=small))
+    monkeypatch.setattr(trials, "ordered_counts", lambda *a, **k: plain(*a, **k, target=target))
     rng = np.random.default_rng(4)
     rows = []
     for study in ("a", "b"):

@@ -128,47 +128,90 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
-def windows(words: list[str], k: int) -> np.ndarray:
-    """A 64-bit hash of every k words in a row."""
-    import xxhash
-
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
-    out ^= out >> np.uint64(32)
-    return out * np.uint64(0xD6E8FEB86659FD93)
-
-
-def anchors(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the last minimum of every w neighbouring hashes: equal passages have equal anchors."""
-    n = len(h) - w + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    low, at = h[:n].copy(), np.arange(n)
-    for j in range(1, w):
-        less = h[j : j + n] <= low
-        low[less] = h[j : j + n][less]
-        at[less] = np.flatnonzero(less) + j
-    return np.unique(at)
-
-
-def covered(text: str, lines: list[int], k: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of the given lines, starts and ends of words, and the windows that are inside one of the lines."""
-    own = units(text, "line") if lines else []
-    spans = [own[n][:2] for n in sorted(lines) if n < len(own)]
-    found = [m.span() for m in re.finditer(WORD, text)]
-    starts, ends = np.array(found, np.int64).reshape(-1, 2).T
-    inside = np.zeros(max(0, len(starts) - k + 1), bool)
-    for a, b in spans:
-        first, last = np.searchsorted(starts, [a, b])
-        inside[first : max(first, last - k + 1)] = True
-    return spans, starts, ends, inside
+#: Bytes between words become blanks; line feeds stay for now. Other white space is beyond ASCII.
+_BLANKS = bytes(32 if c in b".!?\t\r\x0b\x0c\x1c\x1d\x1e\x1f" else c for c in range(256))
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MIX, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+
+
+class Windows:
+    """The windows of k words of several texts at once: a hash for each, and where texts and lines begin.
+
+    Words are numbered by a dictionary of the batch, so that each one is hashed once.
+    """
+
+    def __init__(self, texts: list[str], k: int):
+        import xxhash
+
+        plain = [_WIDE_SPACE.sub(" ", t.lower()).encode().translate(_BLANKS) for t in texts]
+        joined = b" \r ".join(plain).replace(b"\n", b" \n ")
+        words = pa.compute.split_pattern(pa.array([joined], pa.large_binary()), b" ").flatten()
+        coded = words.filter(pa.compute.greater(pa.compute.binary_length(words), 0)).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        kind = np.array([0 if w == b"\n" else 1 if w == b"\r" else 2 for w in distinct], np.int8)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)
+        ids = coded.indices.to_numpy(zero_copy_only=False) if len(coded) else np.zeros(0, np.int64)
+        kinds = kind[ids]
+        is_word = kinds == 2
+        #: For each text, the number of words before it; for each word, the line of its text it is in.
+        self.starts = np.concatenate([[0], np.cumsum(is_word)[kinds == 1], [is_word.sum()]]).astype(np.int64)
+        line = np.cumsum(kinds == 0)[is_word]
+        text_of = np.cumsum(kinds == 1)[is_word]
+        before = np.concatenate([[0], np.cumsum(kinds == 0)[kinds == 1]])
+        self.line = line - before[text_of]
+        h = hashes[ids[is_word]]
+        n = max(0, len(h) - k + 1)
+        out = np.zeros(n, np.uint64)
+        for j in range(k):
+            out = out * _STEP + h[j : j + n]
+        out ^= out >> np.uint64(32)
+        self.h = out * _MIX
+        #: Windows that are inside one text.
+        self.whole = text_of[:n] == text_of[k - 1 : k - 1 + n]
+
+    def text(self, i: int, k: int) -> slice:
+        """The windows of one text."""
+        return slice(int(self.starts[i]), max(int(self.starts[i]), int(self.starts[i + 1]) - k + 1))
+
+    def anchors(self, w: int) -> np.ndarray:
+        """Positions of the last minimum of every w neighbouring windows of a text: equal passages have equal anchors."""
+        n = len(self.h) - w + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        # Neighbours of two texts have a broken window between them.
+        broken = np.concatenate([[0], np.cumsum(~self.whole)])
+        low, at = self.h[:n].copy(), np.zeros(n, np.int64)
+        for j in range(1, w):
+            less = self.h[j : j + n] <= low
+            np.copyto(low, self.h[j : j + n], where=less)
+            at[less] = j
+        inside = broken[w:] == broken[:n]
+        return np.unique((at + np.arange(n))[inside])
+
+
+def line_places(text: str, units_: list[int]) -> np.ndarray:
+    """Which lines of the text, counted with empty ones, the given units are."""
+    own = [n for n, line in enumerate(text.split("\n")) if line.strip()]
+    return np.array([own[u] for u in units_ if u < len(own)], np.int64)
+
+
+def inside_lines(line: np.ndarray, gone: np.ndarray, k: int) -> np.ndarray:
+    """The windows of a text that are inside one of the given lines; `line` is the line of each word."""
+    n = max(0, len(line) - k + 1)
+    return (line[:n] == line[k - 1 : k - 1 + n]) & np.isin(line[:n], gone)
 
 
 def removals(text: str, lines: list[int], later: list[int], k: int, min_words: int) -> list[tuple[int, int]]:
     """Original offsets of the repeated lines, and of the runs of repeated windows that have enough words."""
-    spans, starts, ends, gone = covered(text, lines, k)
+    own = units(text, "line") if lines else []
+    spans = [own[n][:2] for n in sorted(lines) if n < len(own)]
+    if not later:
+        return merged(text, spans)
+    starts, ends = np.array([m.span() for m in re.finditer(WORD, text)], np.int64).reshape(-1, 2).T
+    gone = np.zeros(max(0, len(starts) - k + 1), bool)
+    for a, b in spans:
+        first, last = np.searchsorted(starts, [a, b])
+        gone[first : max(first, last - k + 1)] = True
     at = np.array(later, np.int64)
     gone[at[at < len(gone)]] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
@@ -214,8 +257,8 @@ def _anchored(k: int, w: int):
     def run(batches):
         for whole in batches:
             for batch in pieces(whole):
-                found = [windows(words_of(t), k) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([_lists([h[anchors(h, w)].view(np.int64) for h in found], np.int64)], ["h"])
+                found = Windows(batch.column("text").to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([_lists([found.h[found.anchors(w)].view(np.int64)], np.int64)], ["h"])
 
     return run
 
@@ -228,18 +271,22 @@ def _compared(k: int, w: int, bits):
         for whole in batches:
             for batch in pieces(whole):
                 ats, hashes = [], []
-                for t, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):
-                    h = windows(words_of(t), k)
-                    near = anchors(h, w)
-                    near = near[hash_found(repeated, h[near])]
-                    at = np.zeros(0, np.int64)
-                    if len(near):
-                        ends = np.zeros(len(h) + 1, np.int64)
-                        np.add.at(ends, np.clip(near - w + 1, 0, len(h)), 1)
-                        np.add.at(ends, np.clip(near + w, 0, len(h)), -1)
-                        at = np.flatnonzero((np.cumsum(ends[:-1]) > 0) & ~covered(t, lines or [], k)[3])
+                texts = batch.column("text").to_pylist()
+                found = Windows(texts, k)
+                near = found.anchors(w)
+                near = near[hash_found(repeated, found.h[near])]
+                ends = np.zeros(len(found.h) + 1, np.int64)
+                np.add.at(ends, np.clip(near - w + 1, 0, len(found.h)), 1)
+                np.add.at(ends, np.clip(near + w, 0, len(found.h)), -1)
+                close = (np.cumsum(ends[:-1]) > 0) & found.whole
+                for i, (t, lines) in enumerate(zip(texts, batch.column("lines").to_pylist())):
+                    own = found.text(i, k)
+                    here = close[own]
+                    if lines and here.any():
+                        here = here & ~inside_lines(found.line[found.starts[i] : found.starts[i + 1]], line_places(t, lines), k)
+                    at = np.flatnonzero(here)
                     ats.append(at)
-                    hashes.append(h[at].view(np.int64))
+                    hashes.append(found.h[own][at].view(np.int64))
                 columns = [batch.column("id"), batch.column("sub"), _lists(ats, np.int32), _lists(hashes, np.int64)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "sub", "at", "h"])
 

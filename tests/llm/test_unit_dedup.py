@@ -150,3 +150,28 @@ def test_the_registered_path_against_a_plain_pass(documents):
         seen.update(tuple(flat[j : j + 10]) for j in range(len(flat) - 9))
     got = {r["doc_id"]: r["text"].split() for r in ud.dedup(documents(rows)).collect() if r["doc_id"] is not None}
     assert got == expected
+
+
+def test_windows_of_a_batch_are_those_of_each_text():
+    """Anchors and windows against a text taken alone, with words found one by one."""
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = ["", "One two.", " ".join(rng.choice("ab cd ef\ngh. I J! ÄÖ?".split(" ")) for _ in range(300)), "\n\n", "x " * 40, "A b\x1cc\x85d " * 20]
+    k, w = 4, 5
+    both = ud.Windows(texts, k)
+    anchors = set(both.anchors(w).tolist())
+    for i, t in enumerate(texts):
+        words = ud.words_of(t)
+        assert both.starts[i + 1] - both.starts[i] == len(words)
+        alone = ud.Windows([t], k)
+        own = both.text(i, k)
+        assert both.h[own].tolist() == alone.h.tolist()
+        assert {a - own.start for a in anchors if own.start <= a < own.stop} == set(alone.anchors(w).tolist())
+        same = {tuple(words[j : j + k]): h for j, h in enumerate(alone.h.tolist())}
+        assert len(set(same.values())) == len(same)
+        line = [n for n, x in enumerate(t.lower().split("\n")) for _ in ud.words_of(x)]
+        assert both.line[both.starts[i] : both.starts[i + 1]].tolist() == line
+        lo = alone.h.tolist()
+        assert set(alone.anchors(w).tolist()) == {max(j for j in range(s, s + w) if lo[j] == min(lo[s : s + w])) for s in range(len(lo) - w + 1)}
+        assert np.all(both.whole[own])

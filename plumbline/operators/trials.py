@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -314,6 +314,25 @@ def stopping_points(
     return t.groupBy(*study).agg(stop.alias("stop_trial"), F.count(F.lit(1)).alias("trials_run"))
 
 
+# ---- the log as a table ----------------------------------------------------------------
+
+
+def append_trials(log: DataFrame, path: str, run: str) -> None:
+    """Adds a run's trials to the log; a run that is there already is replaced, so a repeated write changes nothing.
+
+    Parameters are kept as text: runs may search over different ones, and one parameter may be a
+    number in one run and a name in the other.
+    """
+    text = {c: F.col(c).cast("string") for c in log.columns if c.startswith(PARAM_PREFIX)}
+    out = log.withColumns(text).withColumn("run", F.lit(run))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_trials(spark: SparkSession, path: str) -> DataFrame:
+    """All runs, with the parameters of all of them; what a run did not search over is null."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 # ---- median pruning --------------------------------------------------------------------
 
 

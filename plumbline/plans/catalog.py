@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-SECTIONS = ("tables", "features", "comparison", "tuning", "models", "explanation")
+SECTIONS = ("tables", "features", "comparison", "tuning", "models", "explanation", "properties")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -222,7 +222,15 @@ def k12_row(spark, sf_dir):
     return rounded(explain.contributions(_shap_rows(spark, sf_dir)), "phi", digits=4)
 
 
-@query("k13_save_explanations")
+@query(
+    "k13_save_explanations",
+    f"""WITH {_SAMPLE}, d AS (SELECT fold, 0.25 * stddev_pop(p0) AS delta FROM s GROUP BY fold),
+pick AS (SELECT c.*, p0 + delta AS target FROM cells c JOIN d USING (fold)
+  WHERE list_contains(list_transform(range(5), lambda i: CAST(floor(i * (size - 1) / 4.0) AS BIGINT)), pos)),
+hit AS (SELECT DISTINCT pick.fold, pos FROM pick JOIN grid ON grid.fold = pick.fold AND grid.fidx = pick.fidx WHERE p0 + w * (v - x) >= target)
+SELECT 'Linear' AS model, fold AS outer_fold, count(*) AS n, 'counterfactuals' AS "table" FROM hit GROUP BY fold
+UNION ALL SELECT 'Linear', fold, count(*), 'partial_dependence' FROM grid GROUP BY fold""",
+)
 def k13(spark, sf_dir):
     """Both tables of all models written as CSV and read back."""
     tables = explain.explain_all(_store(spark, sf_dir))

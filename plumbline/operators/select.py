@@ -212,29 +212,20 @@ def select_genetic(
             known[key] = Moments(valid.matrix[cells]).mse(w, b) + size_penalty * mask.mean()
         return known[key]
 
-    def repair(mask: np.ndarray) -> np.ndarray:
-        if not mask.any():
-            mask[rng.integers(p)] = True
-        return mask
-
     size = max(4, population)
-    pool = [repair(rng.random(p) < 0.5) for _ in range(size)]
-    pool[0] = np.ones(p, dtype=bool)
+    masks = rng.random((size, p)) < 0.5
+    masks[0] = True
     for _ in range(max(1, generations)):
-        costs = np.array([cost(m) for m in pool])
-
-        def parent() -> np.ndarray:
-            rivals = rng.choice(size, size=min(3, size), replace=False)
-            return pool[rivals[np.argmin(costs[rivals])]]
-
-        nxt = [pool[int(np.argmin(costs))].copy()]
-        while len(nxt) < size:
-            a, b = parent(), parent()
-            cut = rng.integers(1, p) if rng.random() < crossover else p
-            for child in (np.r_[a[:cut], b[cut:]], np.r_[b[:cut], a[cut:]]):
-                nxt.append(repair(child ^ (rng.random(p) < mutation)))
-        pool = nxt[:size]
-    best = min(pool, key=cost)
+        masks[~masks.any(axis=1), rng.integers(p)] = True  # an empty set is no candidate
+        order = np.argsort([cost(m) for m in masks], kind="stable")
+        masks = masks[order][:size]
+        # Better masks are parents more often; a child takes every feature from either parent.
+        chance = np.arange(len(masks), 0, -1) / (len(masks) * (len(masks) + 1) / 2)
+        first, second = (masks[rng.choice(len(masks), size, p=chance)] for _ in range(2))
+        mixes = (rng.random((size, 1)) < crossover) & (rng.random((size, p)) < 0.5)
+        children = np.where(mixes, second, first) ^ (rng.random((size, p)) < mutation)
+        masks = np.unique(np.concatenate([masks, children[children.any(axis=1)]]), axis=0)
+    best = min(masks, key=cost)
     idx = np.flatnonzero(best) + 1
     w, _ = ridge(Moments(train.matrix[np.ix_([0, *idx, p + 1], [0, *idx, p + 1])]), 1.0)
     coef = np.zeros(p)

@@ -194,17 +194,6 @@ def best_trials(trials: DataFrame, study: Sequence[str] = ("study_name",)) -> Da
 # ---- coverage and stopping -------------------------------------------------------------
 
 
-def coverage_levels(space: dict[str, dict[str, Any]]) -> dict[str, list[Any]]:
-    """Categorical parameters whose choices are all non-numeric (booleans are numbers)."""
-    return {
-        name: list(spec["choices"])
-        for name, spec in space.items()
-        if spec.get("type") == "categorical"
-        and spec.get("choices")
-        and not any(isinstance(c, (bool, int, float)) for c in spec["choices"])
-    }
-
-
 def coverage_table(trials: DataFrame, required: DataFrame, study: Sequence[str] = ("study_name",)) -> DataFrame:
     """Per study and parameter: levels required, levels seen, and whether all were seen.
 

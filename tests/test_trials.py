@@ -132,7 +132,7 @@ def test_stopping_point_against_a_simulation(spark, monkeypatch, block):
 
 
 def test_coverage_counts_only_all_text_choices():
-    got = trials.coverage_levels(
+    got = space.named_levels(
         {
             "opt": {"type": "categorical", "choices": ["a", "b"]}, "mix": {"type": "categorical", "choices": ["a", 0.3]},
             "flag": {"type": "categorical", "choices": [True, False]}, "n": {"type": "int", "low": 1, "high": 2},
@@ -156,4 +156,4 @@ def test_draws_respect_the_space(spark):
 
 def test_own_budget_wins():
     s = space.SearchSpace({"global": {"n_trials": 40}, "models": {"A": {"n_trials": 80}}})
-    assert s.trials("A", 4) == 80 and s.trials("B", 4) == 40 and space.SearchSpace().trials("A", 4) == 4
+    assert s.budget("A", 4) == 80 and s.budget("B", 4) == 40 and space.SearchSpace().budget("A", 4) == 4

@@ -126,7 +126,7 @@ def marked_slots(positions: DataFrame, slots: int) -> np.ndarray:
     p = F.col(positions.columns[0]) + 1
     bits = positions.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits"))
     out = np.zeros(-(-slots // 32768) * 32768, bool)
-    for bucket, found in bits.toLocalIterator():
+    for bucket, found in bits.collect():  # at most slots / 32768 rows of 4 KB
         out[(bucket - 1) * 32768 : bucket * 32768] = np.unpackbits(np.frombuffer(bytes(found), np.uint8), bitorder="little").astype(bool)
     return out[:slots]
 

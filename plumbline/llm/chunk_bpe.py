@@ -40,7 +40,7 @@ LEAST, USUAL, MOST = 256, 1024, 16_384
 #: Bytes that a boundary must stand before the end of what was seen; the pattern looks three characters ahead at most.
 MARGIN = 12
 #: Words that a worker keeps.
-CACHE_SIZE = 200_000
+CACHE_SIZE = 400_000
 #: Bytes of the right part that the first repair looks at.
 WINDOW = 32
 

@@ -223,7 +223,7 @@ def e6_fit(spark, sf_dir):
     return fit.table(spark)
 
 
-@query("e7_dropped_columns")
+@query("e7_dropped_columns", "SELECT 'flat' AS \"column\", 'ZeroVariance' AS reason")
 def e7(spark, sf_dir):
     fit = numeric.fit_power(fx.listings(spark, sf_dir).withColumn("flat", F.lit(1.5)), ["year", "flat", "mpg"])
     return spark.createDataFrame(sorted(fit.dropped.items()), "column string, reason string")

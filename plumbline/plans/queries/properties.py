@@ -7,11 +7,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import encode, explain, folds, models, numeric, select, trials
+from plumbline.operators import encode, explain, features, folds, models, numeric, select, trials
 from plumbline.plans import fixtures as fx
 from plumbline.plans.catalog import query
 from plumbline.plans.fixtures import rd, rounded
 from plumbline.plans.queries.explanation import _fold_entries, _stacked
+from plumbline.plans.queries.explanation import _store as _linear_store
 from plumbline.session import cut_lineage, scratch_path
 
 
@@ -323,6 +324,98 @@ def k2_trees(spark, sf_dir):
     return _stacked(out)
 
 
+@query(
+    "d7_linear_audit",
+    f"""WITH {fx.FOLDED}, f AS (SELECT DISTINCT outer_fold FROM folded)
+SELECT outer_fold, unnest(['mileage', 'mpg', 'engineSize', 'tax']) AS feature, CAST(unnest([-1, 0, 1, 0]) AS INTEGER) AS direction,
+ CAST(19 AS BIGINT) AS steps, CAST(unnest([19, 0, 19, 0]) AS BIGINT) AS violations FROM f""",
+)
+def d7_linear(spark, sf_dir):
+    """A function that rises with mileage and falls with the engine breaks both expectations at every step."""
+    curves = explain.partial_dependence(_linear_store(spark, sf_dir), "Linear", features=["mileage", "mpg", "engineSize", "tax"])
+    return features.monotonicity_audit(curves).select("outer_fold", "feature", "direction", "steps", "violations")
+
+
+# ---- whole runs ------------------------------------------------------------------------
+
+
+@query(
+    "e13_policies_cover_rows",
+    f"""WITH {fx.FOLDED} SELECT unnest(['RandomForest', 'LinearRegression']) AS policy, count(*) AS n, true AS complete FROM folded WHERE outer_fold = 0""",
+)
+def e13_cover(spark, sf_dir):
+    """Every assembled feature has a value in every held-out row."""
+    from plumbline.plans.queries.features import e13
+
+    out = e13(spark, sf_dir).groupBy("policy").agg(F.max("n").alias("n"), ((F.min("n") == F.max("n")) & (F.count_if(F.isnan("mean") | F.col("mean").isNull()) == 0)).alias("complete"))
+    return out.select("policy", "n", "complete")
+
+
+@query(
+    "e14_shares_of_folds",
+    "SELECT CAST(7 AS BIGINT) AS features, CAST(5 AS BIGINT) AS n_folds, true AS whole_folds",
+)
+def e14_shares(spark, sf_dir):
+    """Every feature is judged in every fold, and its share is a number of whole folds."""
+    from plumbline.plans.queries.features import e14
+
+    fifths = F.col("selected_share") * 5
+    whole = (F.abs(fifths - F.round(fifths)) < 1e-9) & F.col("selected_share").between(0, 1)
+    return e14(spark, sf_dir).agg(F.count(F.lit(1)).alias("features"), F.min("n_folds").alias("n_folds"), F.min(whole).alias("whole_folds"))
+
+
+@query(
+    "h2_every_fold_scored",
+    """SELECT CAST(unnest([0, 1]) AS INTEGER) AS outer_fold, CAST(3 AS BIGINT) AS variants, CAST(unnest([1, 1]) AS BOOLEAN) AS finite,
+ CAST(unnest([1, 1]) AS BOOLEAN) AS better_than_mean""",
+)
+def h2_scored(spark, sf_dir):
+    """Nested tuning scores every variant once in every outer fold, and its trees beat the mean."""
+    from plumbline.plans.queries.models import h2
+
+    out = h2(spark, sf_dir).groupBy("outer_fold").agg(
+        F.count(F.lit(1)).alias("variants"),
+        (F.count_if(F.isnan("R2") | F.isnan("MAE") | F.isnan("RMSE")) == 0).alias("finite"),
+        (F.max("R2") > 0.5).alias("better_than_mean"),
+    )
+    return out.withColumn("outer_fold", F.col("outer_fold").cast("int"))
+
+
+@query(
+    "l2_stream_equals_batch",
+    f"WITH {fx.FOLDED} SELECT outer_fold, count(*) AS n, true AS same FROM folded GROUP BY outer_fold",
+)
+def l2_same(spark, sf_dir):
+    """What a stream of files is scored with equals the scores of the same rows in a batch."""
+    from plumbline.plans.queries.models import _POLICY, _ROLES
+    from plumbline.plans.serving import Predictor
+    from plumbline.operators import assembly
+    from plumbline.streaming.scoring import score_stream, stream_parquet
+
+    source, target = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    fx.folded(spark, sf_dir).write.parquet(source)
+    df = spark.read.parquet(source)
+    feats = assembly.fit_features(df, _ROLES, _POLICY, "y_log", "row_key")
+    fitted = models.build_model("LinearRegression").fit(feats.transform(df), "y_log")
+    score_stream(stream_parquet(spark, source, df.schema), Predictor(feats.pipeline, fitted), target).awaitTermination()
+    streamed = spark.read.parquet(target).select("row_key", "outer_fold", F.col("prediction").alias("streamed"))
+    batch = Predictor(feats.pipeline, fitted)(df).select("row_key", "prediction")
+    both = streamed.join(batch, "row_key")
+    return both.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("streamed") - F.col("prediction"))) < 1e-9).alias("same"))
+
+
+@query(
+    "g16_refitted_model_scores",
+    f"WITH {fx.LISTINGS} SELECT brand, count(*) AS n, true AS close FROM listings GROUP BY brand",
+)
+def g16_scores(spark, sf_dir):
+    """Tuned, refitted, saved and loaded again: the model explains the listings of every brand."""
+    from plumbline.plans.queries.models import l2
+
+    counted = fx.listings(spark, sf_dir).groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
+    return l2(spark, sf_dir).select("brand", (F.col("R2") > 0.8).alias("close")).join(counted, "brand").select("brand", "n", "close")
+
+
 # ---- the trial log ---------------------------------------------------------------------
 
 

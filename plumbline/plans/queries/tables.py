@@ -141,7 +141,7 @@ def a6(spark, sf_dir):
     return sinks.read_merged_json(spark, path, new.schema).select("model", "n", "balance")
 
 
-@query("a7_dropped_log")
+@query("a7_dropped_log", "SELECT 'flat' AS column_name, 'ZeroVariance' AS error_type, CAST(2 AS BIGINT) AS n")
 def a7(spark, sf_dir):
     """Columns a power fit rejects, appended to the log by two runs."""
     from plumbline.operators.numeric import fit_power

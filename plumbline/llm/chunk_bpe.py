@@ -40,7 +40,7 @@ LEAST, USUAL, MOST = 256, 1024, 16_384
 #: Bytes that a boundary must stand before the end of what was seen; the pattern looks three characters ahead at most.
 MARGIN = 12
 #: Words that a worker keeps.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 300_000
 #: Bytes of the right part that the first repair looks at.
 WINDOW = 32
 
@@ -110,6 +110,7 @@ class Encoder:
         library = self.split.library
         self.type = np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_size = cache_size
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.bytes_of = self._bytes(library)
@@ -136,16 +137,19 @@ class Encoder:
     def words(self, text: str) -> list[bytes]:
         """The ids of each pre-token, as bytes."""
         words, cache = self.split.split(text), self.cache
-        new = list({w for w in words if w not in cache})
-        if new:
-            if len(cache) > self.cache_size:
-                cache.clear()
-                new = list(set(words))
-            made = {w: np.array(e.ids, self.type).tobytes() for w, e in zip(new, self.split.library.encode_batch(new, add_special_tokens=False))}
-            cache.update((w, x) for w, x in made.items() if len(w) <= WORD_LIMIT)
-            if any(len(w) > WORD_LIMIT for w in new):
-                return [cache[w] if w in cache else made[w] for w in words]
-        return list(map(cache.__getitem__, words))
+        new = {w for w in words if w not in cache}
+        if not new:
+            return list(map(cache.__getitem__, words))
+        known = {w: self.older[w] for w in new if w in self.older}
+        rest = list(new.difference(known))
+        if rest:
+            made = self.split.library.encode_batch(rest, add_special_tokens=False)
+            known.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(rest, made))
+        out = [cache[w] if w in cache else known[w] for w in words]
+        cache.update((w, x) for w, x in known.items() if len(w) <= WORD_LIMIT)
+        if len(cache) > self.cache_size // 2:  # words that are met again move on, the others go
+            self.cache, self.older = {}, cache
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the place among them of each pre-token's first one."""
@@ -224,7 +228,7 @@ def repaired(parts: list[Part], e: Encoder) -> list[Part]:
     return done
 
 
-MIXED = "row long, doc_id long, seq int, parts int, apart boolean, hi long, lo long, ids binary, starts binary, text binary"
+MIXED = "row long, doc_id long, seq int, parts int, apart boolean, hi long, lo long, ids binary, starts binary, text binary"  # ids of a whole document have 32 bits, those of parts are narrower
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -304,9 +308,9 @@ def encode(
                                 met.add((hi, lo))
                                 chunk = data
                         elif isinstance(data, int):
-                            ids, starts = np.array([data], e.type).tobytes(), _packed(np.zeros(1, np.int64), 1)
+                            ids, starts = np.array([data], "<u4" if n == 1 else e.type).tobytes(), _packed(np.zeros(1, np.int64), 1)
                         elif n == 1:
-                            ids = b"".join(e.words(data.decode()))
+                            ids = np.frombuffer(b"".join(e.words(data.decode())), e.type).astype("<u4").tobytes()
                         else:
                             made, at = e.encode(data.decode())
                             ids, starts = made.tobytes(), _packed(at, len(made))
@@ -351,7 +355,7 @@ def encode(
                 ids = np.frombuffer(ids, e.type)
                 now.append((ids, _unpacked(starts, len(ids))))
             pieces_ += repaired(now, e)
-            return group[0][1], np.concatenate([p[0] for p in pieces_]).tobytes()
+            return group[0][1], np.concatenate([p[0] for p in pieces_]).astype("<u4").tobytes()
 
         out, size = [], 0
         for b in batches:
@@ -372,16 +376,7 @@ def encode(
     assembled = by_row.mapInArrow(put_together, CLOSED)
     whole = mixed.filter("parts = 1 and hi is null").select("doc_id", "ids")
 
-    narrow = encoder(vocabulary()).type
-
-    def widened(batches):
-        for b in batches:
-            for p in pieces(b, "ids"):
-                ids = [np.frombuffer(x, narrow).astype("<u4") for x in p.column("ids").to_pylist()]
-                out = [(d, len(x), x.tobytes()) for d, x in zip(p.column("doc_id").to_pylist(), ids)]
-                yield _batch(out, ENCODED)
-
-    return whole.unionByName(assembled).mapInArrow(widened, ENCODED)
+    return whole.unionByName(assembled).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 CODED, CLOSED, ENCODED = "hi long, lo long, ids binary, starts binary", "doc_id long, ids binary", "doc_id long, n_tokens long, ids binary"

@@ -143,7 +143,7 @@ class Encoder:
         known = {w: self.older[w] for w in new if w in self.older}
         rest = list(new.difference(known))
         if rest:
-            made = self.split.library.encode_batch(rest, add_special_tokens=False)
+            made = self.split.library.encode_batch_fast(rest, add_special_tokens=False)
             known.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(rest, made))
         out = [cache[w] if w in cache else known[w] for w in words]
         cache.update((w, x) for w, x in known.items() if len(w) <= WORD_LIMIT)

@@ -14,6 +14,7 @@ an empty table; other columns are not carried.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -55,6 +56,8 @@ class Splitter:
     """Splits texts into pre-tokens and special strings as the library does."""
 
     def __init__(self, path: str):
+        # Tasks share out the cores; threads of the library's own would only wait for them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -34,3 +34,11 @@ def test_predictions_are_read_from_written_rows(spark, tmp_path):
     out = fx.predictions(spark, _star(spark, tmp_path))
     assert not any(s in ("lineitem.parquet", "orders.parquet") for s in _sources(out))
     assert out.count() == 60 and out.columns == ["outer_fold", "row_key", "brand", "y_true", "y_pred"]
+
+
+def test_a_stack_is_fitted_on_written_rows(spark, tmp_path, monkeypatch):
+    seen = []
+    plain = models.models.Stacked.fit
+    monkeypatch.setattr(models.models.Stacked, "fit", lambda self, df, *a, **k: (seen.append(df), plain(self, df, *a, **k))[1])
+    models.g13(spark, _star(spark, tmp_path)).collect()
+    assert seen and not any("lineitem.parquet" in _sources(df) for df in seen)

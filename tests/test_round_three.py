@@ -42,3 +42,25 @@ def test_a_stack_is_fitted_on_written_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models.models.Stacked, "fit", lambda self, df, *a, **k: (seen.append(df), plain(self, df, *a, **k))[1])
     models.g13(spark, _star(spark, tmp_path)).collect()
     assert seen and not any("lineitem.parquet" in _sources(df) for df in seen)
+
+
+def test_exact_folds_with_repeated_and_missing_keys(spark):
+    keys = ["a", "b", "b", None, "c", "d", None, "b", "e"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    got = {r["i"]: r["outer_fold"] for r in folds.with_exact_folds(df, "k", 4).collect()}
+    import hashlib
+
+    def order(k):
+        return "" if k is None else hashlib.md5(f"{k}|42".encode()).hexdigest() + k
+
+    # missing keys come first and drop out; equal keys share their first position
+    assert got == {i: sum(order(o) < order(k) for o in keys) % 4 for i, k in enumerate(keys) if k is not None}
+
+
+def test_exact_folds_write_the_digest_of_no_row(spark, monkeypatch):
+    written = []
+    plain = folds.cut_lineage
+    monkeypatch.setattr(folds, "cut_lineage", lambda df: (written.append(df.columns), plain(df))[1])
+    out = folds.with_exact_folds(spark.range(1000).select(F.col("id").cast("string").alias("k")), "k", 5)
+    assert {r["count"] for r in out.groupBy("outer_fold").count().collect()} == {200}
+    assert written and not any("__h" in cols for cols in written)

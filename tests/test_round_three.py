@@ -44,6 +44,16 @@ def test_a_stack_is_fitted_on_written_rows(spark, tmp_path, monkeypatch):
     assert seen and not any("lineitem.parquet" in _sources(df) for df in seen)
 
 
+def test_a_power_fit_reads_written_rows(spark, tmp_path, monkeypatch):
+    from plumbline.operators import numeric
+
+    seen = []
+    plain = numeric.fit_power
+    monkeypatch.setattr(numeric, "fit_power", lambda df, cols: (seen.append(df), plain(df, cols))[1])
+    tables.a7(spark, _star(spark, tmp_path)).collect()
+    assert len(seen) == 2 and not any("lineitem.parquet" in _sources(df) for df in seen)
+
+
 def test_exact_folds_with_repeated_and_missing_keys(spark):
     keys = ["a", "b", "b", None, "c", "d", None, "b", "e"]
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")

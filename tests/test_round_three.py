@@ -74,3 +74,19 @@ def test_exact_folds_write_the_digest_of_no_row(spark, monkeypatch):
     out = folds.with_exact_folds(spark.range(1000).select(F.col("id").cast("string").alias("k")), "k", 5)
     assert {r["count"] for r in out.groupBy("outer_fold").count().collect()} == {200}
     assert written and not any("__h" in cols for cols in written)
+
+
+def test_held_out_rows_of_fold_models_are_written(spark, tmp_path):
+    star = _star(spark, tmp_path, 400)
+    entries = explanation._fold_entries(spark, star, "DecisionTree", {"max_depth": 2}, "tree")
+    # a fold's rows are one written table: nothing is left to encode or filter
+    assert all("Join" not in e.rows._jdf.queryExecution().optimizedPlan().toString() for e in entries)
+    assert sum(e.rows.count() for e in entries) == 400
+
+
+def test_replacing_a_feature_leaves_the_others(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<double>")
+    for j in range(3):
+        got = df.withColumn("c", F.struct(F.lit(j).alias("fidx"), F.lit(9.0).alias("gval"))).select(explain._replaced().alias("r"))
+        assert got.first()[0] == [9.0 if i == j else v for i, v in enumerate([1.0, 2.0, 3.0])]
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -90,3 +90,16 @@ def test_replacing_a_feature_leaves_the_others(spark):
         got = df.withColumn("c", F.struct(F.lit(j).alias("fidx"), F.lit(9.0).alias("gval"))).select(explain._replaced().alias("r"))
         assert got.first()[0] == [9.0 if i == j else v for i, v in enumerate([1.0, 2.0, 3.0])]
         assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checked_values_tell_a_wrong_walk(spark):
+    class Fitted:
+        def predict(self, df, out):
+            return df.withColumn(out, F.lit(3.0))
+
+    rows = spark.createDataFrame([("a",), ("b",)], "row_key string")
+    e = explain.Entry("m", "m", 0, Fitted(), rows, ["f", "g"])
+    exact = spark.createDataFrame([(k, f, v) for k in "ab" for f, v in (("f", 1.0), ("g", 2.0))], "row_key string, feature string, phi double")
+    for walk, same in ((1.0, True), (1.5, False)):
+        walked = spark.createDataFrame([("a", "f", walk)], "row_key string, feature string, phi double")
+        assert properties._checked_values(e, exact, walked).first().asDict() == {"n": 2, "additive": True, "same_as_walks": same}

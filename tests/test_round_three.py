@@ -103,3 +103,15 @@ def test_checked_values_tell_a_wrong_walk(spark):
     for walk, same in ((1.0, True), (1.5, False)):
         walked = spark.createDataFrame([("a", "f", walk)], "row_key string, feature string, phi double")
         assert properties._checked_values(e, exact, walked).first().asDict() == {"n": 2, "additive": True, "same_as_walks": same}
+
+
+def test_residual_fits_are_given_narrow_rows(spark, tmp_path, monkeypatch):
+    seen = []
+    plain = properties.cut_lineage
+    monkeypatch.setattr(properties, "cut_lineage", lambda df: (seen.append(df.columns), plain(df))[1])
+    monkeypatch.setattr(properties.models, "build_model", lambda *a, **k: (_ for _ in ()).throw(StopIteration))
+    try:
+        properties.g8_to_g12(spark, _star(spark, tmp_path))
+    except StopIteration:
+        pass
+    assert seen == [["row_key", "outer_fold", "features", "y"]]

@@ -54,6 +54,15 @@ def test_a_power_fit_reads_written_rows(spark, tmp_path, monkeypatch):
     assert len(seen) == 2 and not any("lineitem.parquet" in _sources(df) for df in seen)
 
 
+def test_an_experiment_refits_on_the_rows_its_run_wrote(spark, tmp_path):
+    star = _star(spark, tmp_path / "star")
+    df = fx.listings(spark, star).select("row_key", "price", "mileage", "mpg", "brand")
+    e = ex.Experiment(df, "price", models._config(n_trials=1), ["DecisionTree"], models._SPACE, {"DecisionTree": models._POLICY})
+    e.run()
+    assert "lineitem.parquet" not in _sources(e.outcome.rows) and e.outcome.rows.count() == 60
+    assert not any("lineitem.parquet" in _sources(entry.rows) for entry in e.outcome.entries)
+
+
 def test_exact_folds_with_repeated_and_missing_keys(spark):
     keys = ["a", "b", "b", None, "c", "d", None, "b", "e"]
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")

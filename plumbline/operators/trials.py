@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.ordering import average_rank, exact_quantiles, join_on, ordered_counts
 from plumbline.operators.schema import is_finite
@@ -324,6 +329,9 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- median pruning --------------------------------------------------------------------
 
+#: Blocks of a group at most; longer groups get longer blocks.
+MAX_BLOCKS = 256
+
 
 def median_pruning(
     steps: DataFrame,
@@ -332,6 +340,7 @@ def median_pruning(
     interval: int = 1,
     study: Sequence[str] = ("study_name",),
     complete: str | None = None,
+    block: int = 16_384,
 ) -> DataFrame:
     """Which (trial, step) reports a median pruner would stop.
 
@@ -341,9 +350,11 @@ def median_pruning(
     ``complete`` holds count as earlier ones (all, if no column is named).
 
     An expanding median over a group of any size needs, per report, the rank of a value among
-    earlier ones. Trial positions are split into dyadic blocks: the prefix before position p is
-    the union of at most log2(p) blocks, one per set bit of p. Each loss joins one block per
-    level, each report asks its blocks, and a block is answered by counting.
+    earlier ones. Reports are cut into blocks of ``block`` trials in a row. While a block lasts, the
+    median moves by half a block of ranks at most, so a block needs only that stretch of the earlier
+    losses and the number of smaller ones. Losses are counted by block and by range of value, as many
+    ranges as blocks; running sums over that grid tell which ranges hold a block's stretch.
+    Every block fetches three blocks of losses at most, and equal ones are counted before.
     """
     study = list(study)
     keys = [*study, "step"]
@@ -352,52 +363,100 @@ def median_pruning(
     own = W.partitionBy(*study, "trial_number").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     # a trial has one row per inner fold, so this window is short
     best = best.withColumn("best", F.min("loss").over(own))
-    position = ordered_counts(best, keys, "trial_number", weight=F.when(F.col("__done"), 1).otherwise(0)).select(
-        *keys, "trial_number", F.col("before").alias("pos")
-    )
-    placed = join_on(best, position, [*keys, "trial_number"])
-    size = placed.groupBy(*keys).agg(F.max("pos").alias("__last"))
-    placed = join_on(placed, cut_lineage(size), keys)  # written: its small size is known
-    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("__last") + 1)).cast("int"))
-    data = placed.filter("__done").select(*keys, "pos", "loss", F.explode(levels).alias("lev")).select(
-        *keys, "lev", F.expr("shiftright(pos, lev)").alias("blk"), F.col("loss").alias("v")
-    )
-    asks = (
-        placed.select(*keys, "trial_number", "pos", "best", F.explode(levels).alias("lev"))
-        .filter(F.expr("shiftright(pos, lev) & 1 = 1"))
-        .select(
-            *keys, "lev", (F.expr("shiftright(pos, lev)") - 1).alias("blk"), "trial_number", F.col("best").alias("v")
-        )
-    )
-    block = [*keys, "lev", "blk"]
-    # asks join the ordered scan of their block as points of weight 0
-    points = data.select(*block, "v", F.lit(1).alias("__w")).unionByName(
-        asks.select(*block, "v", F.lit(0).alias("__w"))
-    )
-    ordered = ordered_counts(points, block, "v", weight=F.col("__w"), neighbours=True)
-    answers = (
-        join_on(asks, ordered.select(*block, "v", "before", "below", "at_least"), [*block, "v"])
-        .groupBy(*keys, "trial_number")
-        .agg(
-            F.sum("before").alias("less"),
-            F.max("below").alias("below"),
-            F.min("at_least").alias("at_least"),
-        )
-    )
-    # the first trial has no prefix and asks nothing, hence the left join
-    out = join_on(placed, answers, [*keys, "trial_number"], "left")
-    n, less_c = F.col("pos"), F.coalesce(F.col("less"), F.lit(0))
-    half = F.floor(n / 2)
-    middle = (F.col("below") + F.coalesce(F.col("at_least"), F.col("below"))) / 2
-    above = F.when(n % 2 == 1, less_c >= half + 1).otherwise(
-        F.when(less_c >= half + 1, True).when(less_c <= half - 1, False).otherwise(F.col("best") > middle)
-    )
-    eligible = (n >= startup) & (F.col("step") > warmup) & ((F.col("step") - warmup) % interval == 0)
+    carried = {c: F.first(c) for c in ("loss", "best", "__done")}  # the trial is unique in its group
+    rows = ordered_counts(best, keys, "trial_number", extra=carried).withColumn("__done", F.coalesce("__done", F.lit(False)))
+    rows = cut_lineage(rows.select(*keys, "trial_number", "loss", "best", "__done", F.col("before").alias("__at")))
+    last = rows.agg(F.max("__at")).first()[0] or 0
+    block = max(block, -(-(last + 1) // MAX_BLOCKS))
+    rows = rows.withColumn("__blk", F.floor(F.col("__at") / block))
+    earlier = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)  # a row for each block
+    blocks = rows.groupBy(*keys, "__blk").agg(F.count_if("__done").alias("__n"))
+    blocks = cut_lineage(blocks.select(*keys, "__blk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0")))
+    told = join_on(rows, blocks, [*keys, "__blk"]).withColumns({"__cnt": F.lit(None).cast("bigint")})
+    if last >= block:
+        fetched = _stretches(rows, blocks, keys, last // block + 1, block)
+        told = told.unionByName(fetched, allowMissingColumns=True)
+    plain = rows.select(*keys, "trial_number", "loss", "best").schema
+    schema = T.StructType([*plain, T.StructField("earlier_trials", T.LongType()), T.StructField("__above", T.BooleanType())])
+    out = told.groupBy(*keys, "__blk").applyInArrow(_median_rule(plain.names, block), schema)
+    eligible = (F.col("earlier_trials") >= startup) & (F.col("step") > warmup) & ((F.col("step") - warmup) % interval == 0)
     return out.select(
-        *study, "trial_number", "step", "loss", "best",
-        F.col("pos").alias("earlier_trials"),
-        F.coalesce(eligible & above, F.lit(False)).alias("prune"),
+        *study, "trial_number", "step", "loss", "best", "earlier_trials",
+        F.coalesce(eligible & F.col("__above"), F.lit(False)).alias("prune"),
+    )
+
+
+def _stretch(earlier: Any, block: int) -> tuple[Any, Any]:
+    """First and last rank, among so many earlier losses, that the median may take while a block lasts."""
+    middle = earlier // 2 if isinstance(earlier, int) else F.floor(earlier / 2)
+    return middle - block // 2 - 3, middle + block // 2 + 3
+
+
+def _stretches(rows: DataFrame, blocks: DataFrame, keys: list[str], ranges: int, block: int) -> DataFrame:
+    """Counted earlier losses around the median of what precedes each block."""
+    value = F.col("loss").cast("double")
+    losses = rows.filter("__done")
+    edges = losses.groupBy(*keys).agg(
+        F.percentile_approx(F.when(~F.isnan(value), value), [i / ranges for i in range(1, ranges)], 10_000).alias("__edges")
     )
+    place = F.coalesce(F.size(F.filter("__edges", lambda e: e < value)), F.lit(0))  # nulls come first, NaN last
+    counted = join_on(losses, cut_lineage(edges), keys).groupBy(*keys, "__blk", F.greatest(place, F.lit(0)).alias("__rng"), "loss")
+    counted = cut_lineage(counted.agg(F.count(F.lit(1)).alias("__cnt")))
+    cells = counted.groupBy(*keys, "__blk", "__rng").agg(F.sum("__cnt").alias("__c"))
+    grid = blocks.withColumn("__rng", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    grid = join_on(grid, cells, [*keys, "__blk", "__rng"], "left")
+    before = (W.unboundedPreceding, -1)
+    in_time = W.partitionBy(*keys, "__rng").orderBy("__blk").rowsBetween(*before)
+    in_value = W.partitionBy(*keys, "__blk").orderBy("__rng").rowsBetween(*before)
+    grid = grid.withColumn("__had", F.coalesce(F.sum("__c").over(in_time), F.lit(0)))
+    grid = grid.withColumn("__base", F.coalesce(F.sum("__had").over(in_value), F.lit(0)))
+    low, high = _stretch(F.col("__n0"), block)
+    meets = (F.col("__had") > 0) & (F.col("__base") <= high) & (F.col("__base") + F.col("__had") > low)
+    needed = cut_lineage(grid.filter(meets).select(*keys, "__rng", F.col("__blk").alias("__to"), "__base"))
+    found = join_on(counted, needed, [*keys, "__rng"]).filter(F.col("__blk") < F.col("__to"))
+    return found.select(*keys, F.col("__to").alias("__blk"), "loss", "__cnt", "__base")
+
+
+def _median_rule(kept: list[str], block: int):
+    """Each report of a block against the median of earlier losses, kept in order as they come."""
+
+    def decide(t: pa.Table) -> pa.Table:
+        own = t.filter(pc.is_null(t["__cnt"])).sort_by("__at")
+        old = t.filter(pc.is_valid(t["__cnt"]))
+        parts = [c.cast(pa.float64()).combine_chunks() for c in (old["loss"], own["loss"], own["best"])]
+        missing = np.concatenate([c.is_null().to_numpy(zero_copy_only=False) for c in parts])
+        values = np.concatenate([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in parts])
+        kind = np.where(missing, 0, np.where(np.isnan(values), 2, 1))  # nulls are smallest, NaN is largest
+        plain = np.where(kind == 1, values, 0.0)
+        order = np.lexsort((plain, kind))
+        steps = (np.diff(plain[order], prepend=plain[order][:1]) != 0) | (np.diff(kind[order], prepend=kind[order][:1]) != 0)
+        code = np.empty(len(order), dtype=np.int64)
+        code[order] = np.cumsum(steps)
+        number: dict[int, float] = dict(zip(code.tolist(), np.where(kind == 0, np.nan, values).tolist()))
+        n = own["__n0"][0].as_py()
+        low, high = _stretch(n, block)
+        low = max(low, 0)
+        by_value = np.argsort(code[: len(old)], kind="stable")
+        counts = old["__cnt"].to_numpy()[by_value]
+        ends = np.cumsum(counts) + (old["__base"].to_numpy().min() if len(old) else 0)
+        held = np.clip(np.minimum(ends, high + 1) - np.maximum(ends - counts, low), 0, None)
+        inside = np.repeat(code[: len(old)][by_value], held).tolist()
+        losses, bests = code[len(old) : len(old) + len(own)].tolist(), code[len(old) + len(own) :].tolist()
+        seen, above = [], []
+        for loss, best, done in zip(losses, bests, own["__done"].to_pylist()):
+            i, half = bisect_left(inside, best), n // 2
+            if n == 0 or n % 2 == 1 or low + i != half:
+                above.append(low + i > half)
+            else:
+                above.append(number[best] > (number[inside[i - 1]] + number[inside[i]]) / 2)
+            seen.append(n)
+            if done:
+                insort(inside, loss)
+                n += 1
+        out = own.select(kept)
+        return out.append_column("earlier_trials", pa.array(seen, pa.int64())).append_column("__above", pa.array(above, pa.bool_()))
+
+    return decide
 
 
 # ---- aggregation of best parameters ----------------------------------------------------

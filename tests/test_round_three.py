@@ -1,8 +1,10 @@
 """Steps that read their rows many times read written rows, and give the same results."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import explain, folds
+from plumbline.operators import explain, folds, trials
 from plumbline.plans import experiment as ex
 from plumbline.plans.queries import explanation, models, properties, tables
 from plumbline.plans import fixtures as fx
@@ -124,3 +126,39 @@ def test_residual_fits_are_given_narrow_rows(spark, tmp_path, monkeypatch):
     except StopIteration:
         pass
     assert seen == [["row_key", "outer_fold", "features", "y"]]
+
+
+@pytest.mark.parametrize("ties", [True, False])
+def test_median_pruning_by_blocks_against_brute_force(spark, ties):
+    """Blocks far shorter than the study; open trials, one without a loss and NaN among them."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for t in range(150):
+        for step in (1, 2, 3):
+            loss = float(rng.integers(0, 4)) if ties else float(rng.normal() - t / 100)
+            rows.append(("a" if t % 5 else None, t, step, None if t == 31 else float("nan") if t == 47 else loss, bool(rng.random() < 0.7)))
+    df = spark.createDataFrame(rows, "study_name string, trial_number int, step int, loss double, done boolean")
+    want = trials.median_pruning(df, complete="done", startup=4).collect()
+    for block in (1, 4, 16):
+        assert sorted(map(str, trials.median_pruning(df, complete="done", startup=4, block=block).collect())) == sorted(map(str, want))
+    order = lambda v: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    for r in want:
+        mine = [x for x in rows if x[0] == r["study_name"]]
+        seen = sorted((v for _, t, k, v, done in mine if k == r["step"] and t < r["trial_number"] and done), key=order)
+        own = [v for _, t, k, v, _ in mine if t == r["trial_number"] and k <= r["step"] and v is not None]
+        assert r["earlier_trials"] == len(seen)
+        if own and None not in seen[len(seen) // 2 - 1 :] and len(seen) >= 4 and r["step"] > 1:
+            best, n = min(own, key=order), len(seen)
+            middle = seen[n // 2] if n % 2 else (seen[n // 2 - 1] + seen[n // 2]) / 2
+            assert r["prune"] == (order(best) > order(middle)), r
+        else:
+            assert not r["prune"]
+
+
+def test_a_blocks_rows_stay_few(spark):
+    """What a block fetches does not grow with the trials before it."""
+    n, block = 4000, 100
+    df = spark.range(n).select(F.lit("a").alias("s"), F.lit(1).alias("step"), (F.xxhash64("id") / 1e9).alias("loss"), F.lit(True).alias("__done"), F.floor(F.col("id") / block).alias("__blk"))
+    blocks = df.groupBy("s", "step", "__blk").agg((F.first("__blk") * block).alias("__n0"))
+    got = trials._stretches(df, blocks, ["s", "step"], n // block, block).groupBy("__blk").agg(F.sum("__cnt").alias("n")).collect()
+    assert len(got) == n // block - 1 and max(r["n"] for r in got) <= 4 * block

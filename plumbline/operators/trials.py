@@ -45,7 +45,8 @@ def parameter_cells(trials: DataFrame, min_trials: int = 3) -> DataFrame:
         .withColumn("parameter", F.expr(f"substring(parameter, {len(PARAM_PREFIX) + 1})"))
     )
     keys = [*GROUP, "parameter"]
-    cells = long.groupBy(*keys, "level", "score").agg(F.count(F.lit(1)).alias("cnt"))
+    # written: the levels and every measure read the counts, not the log again
+    cells = cut_lineage(long.groupBy(*keys, "level", "score").agg(F.count(F.lit(1)).alias("cnt")))
     levels = cells.groupBy(*keys, "level").agg(F.sum("cnt").alias("__c"))
     numeric = F.col("level").try_cast("double")
     usable = (

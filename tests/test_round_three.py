@@ -162,3 +162,13 @@ def test_a_blocks_rows_stay_few(spark):
     blocks = df.groupBy("s", "step", "__blk").agg((F.first("__blk") * block).alias("__n0"))
     got = trials._stretches(df, blocks, ["s", "step"], n // block, block).groupBy("__blk").agg(F.sum("__cnt").alias("n")).collect()
     assert len(got) == n // block - 1 and max(r["n"] for r in got) <= 4 * block
+
+
+def test_parameter_cells_are_written_once(spark, tmp_path):
+    log = spark.range(40).select(
+        *[F.lit("m").alias(c) for c in trials.GROUP], F.lit("COMPLETE").alias("state"), (F.col("id") % 9).cast("double").alias("value"),
+        (F.col("id") % 2).cast("string").alias("param__u"),
+    )
+    log.write.parquet(f"{tmp_path}/log.parquet")
+    cells = trials.parameter_cells(spark.read.parquet(f"{tmp_path}/log.parquet"))
+    assert "log.parquet" not in _sources(cells) and cells.agg(F.sum("cnt")).first()[0] == 40

@@ -172,3 +172,16 @@ def test_parameter_cells_are_written_once(spark, tmp_path):
     log.write.parquet(f"{tmp_path}/log.parquet")
     cells = trials.parameter_cells(spark.read.parquet(f"{tmp_path}/log.parquet"))
     assert "log.parquet" not in _sources(cells) and cells.agg(F.sum("cnt")).first()[0] == 40
+
+
+def test_memberships_are_computed_once_for_each_row(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([1.0, 2.0]),), (Vectors.dense([3.0, 0.0]),)], ["features"])
+    fitted = models.models.FuzzyFitted([[0.0, 0.0], [4.0, 1.0], [2.0, 2.0]], 2.0)
+    out = fitted.with_memberships(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sqrt(") <= 3  # one for each rule
+    for r in out.collect():
+        inv = np.array([sum((a - b) ** 2 for a, b in zip(r["__raw"], c)) ** -1.0 for c in fitted.centres])
+        assert np.allclose(r["features"].toArray(), inv / inv.sum())

@@ -185,3 +185,16 @@ def test_memberships_are_computed_once_for_each_row(spark):
     for r in out.collect():
         inv = np.array([sum((a - b) ** 2 for a, b in zip(r["__raw"], c)) ** -1.0 for c in fitted.centres])
         assert np.allclose(r["features"].toArray(), inv / inv.sum())
+
+
+def test_moments_make_no_object_for_each_row(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from plumbline.operators import select
+
+    monkeypatch.setattr(DataFrame, "mapInPandas", None)  # arrays would come as one object for each row
+    df = spark.range(30).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") * 2.0).alias("y"))
+    got = select.moments_by(df, ["a", "b"], "y", "g")
+    rows = np.array([[1.0, i, i % 7, i * 2.0] for i in range(30)])
+    for g in (0, 1):
+        assert np.allclose(got[g].matrix, rows[g::2].T @ rows[g::2])

@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from plumbline.functions import keys
 from plumbline.operators import explain, folds, trials
+from plumbline.operators import models as ops
 from plumbline.plans import experiment as ex
 from plumbline.plans.queries import explanation, models, properties, tables
 from plumbline.plans import fixtures as fx
@@ -198,3 +201,40 @@ def test_moments_make_no_object_for_each_row(spark, monkeypatch):
     rows = np.array([[1.0, i, i % 7, i * 2.0] for i in range(30)])
     for g in (0, 1):
         assert np.allclose(got[g].matrix, rows[g::2].T @ rows[g::2])
+
+
+def _rows(spark, n=400):
+    i = F.col("id")
+    x = F.array((i % 20).cast("double"), (i * 7 % 13).cast("double"), (i * 11 % 17 / 4), F.rand(1))
+    df = spark.range(n, numPartitions=3).select(F.concat(F.lit("k"), i.cast("string")).alias("row_key"), array_to_vector(x).alias("features"), x.alias("x"))
+    return df.select("row_key", "features", (F.col("x")[0] * F.col("x")[1] / 10 + F.col("x")[2]).alias("y"), F.lit("wide").alias("more"))
+
+
+def test_shares_of_hashes_without_numbers(spark):
+    df = spark.range(2000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("k"))
+    for share in (-0.5, 0.0, 1e-12, 0.3, 0.8, 1 - 2**-33, 1.0, 2.0):
+        same = keys.seeded_below("k", 7, share) == (keys.seeded_uniform("k", 7) < share)
+        assert df.filter(same).count() == 2000, share
+    one = df.filter("k = '5'").select(keys.seeded_uniform("k", 7)).first()[0]  # a share that a row hits
+    assert not df.filter("k = '5'").select(keys.seeded_below("k", 7, one)).first()[0]
+    assert df.filter("k = '5'").select(keys.seeded_below("k", 7, one + 2**-32)).first()[0]
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_bags_are_drawn_once_and_kept_narrow(spark, monkeypatch, weight):
+    seen = {}
+    plain = ops.MLRegressor.fit
+
+    def fit(self, df, label, weight=None, valid=None):
+        seen[len(seen)] = (df.storageLevel.useMemory, sorted(df.columns), df.agg(F.sum("__bag"), F.count("*"), F.min("__bag")).first())
+        return plain(self, df, label, weight, valid)
+
+    monkeypatch.setattr(ops.MLRegressor, "fit", fit)
+    df = _rows(spark).withColumn("w", F.when(F.col("y") > 3, 2.0).when(F.col("y") > 1, 0.0))
+    ops.build_model("Bagging", {"n_estimators": 2, "base": "DecisionTree", "max_samples": 0.8}).fit(df, "y", weight)
+    for bag, (kept, columns, found) in seen.items():
+        u = keys.seeded_uniform(F.concat_ws("#", "row_key", F.lit(bag)), 42)
+        count = sum((F.when(u >= step, 1.0).otherwise(0.0) for step in np.exp(-0.8) * np.cumsum([0.8**k / np.prod(range(1, k + 1)) for k in range(20)])), F.lit(0.0))
+        want = df.withColumn("b", count * (F.col(weight) if weight else 1.0)).filter("b > 0").agg(F.sum("b"), F.count("*"), F.min("b")).first()
+        assert kept and columns == ["__bag", "features", "y"] and tuple(found) == tuple(want)
+    assert len(seen) == 2

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -238,3 +239,37 @@ def test_bags_are_drawn_once_and_kept_narrow(spark, monkeypatch, weight):
         want = df.withColumn("b", count * (F.col(weight) if weight else 1.0)).filter("b > 0").agg(F.sum("b"), F.count("*"), F.min("b")).first()
         assert kept and columns == ["__bag", "features", "y"] and tuple(found) == tuple(want)
     assert len(seen) == 2
+
+
+def test_a_round_makes_its_rows_once(spark, monkeypatch):
+    seen = []
+    plain = ops.DecisionTreeRegressor.fit
+    monkeypatch.setattr(ops.DecisionTreeRegressor, "fit", lambda self, df: (seen.append((df.storageLevel.useMemory, df.columns)), plain(self, df))[1])
+    ops.LeafBoost(n_estimators=2, subsample=0.8, colsample_bytree=0.5, max_depth=2).fit(_rows(spark), "y")
+    assert seen == [(True, ["__sub", "__g", "__h", "__z"])] * 2
+
+
+@pytest.mark.parametrize("depth, share", [(2, 0.5), (5, 1.0)])
+def test_steps_by_comparisons_equal_those_by_leaves(spark, depth, share):
+    rows = _rows(spark)
+    fitted = ops.LeafBoost(n_estimators=4, max_depth=depth, colsample_bytree=share, learning_rate=0.3).fit(rows, "y")
+    odd = spark.range(6).select(array_to_vector(F.array(*[F.lit(v) for v in (float("nan"), -0.0, float("inf"), 0.5)])).alias("features"))
+    for df in (rows, odd):
+        want = df.withColumn("p", F.lit(fitted.start))
+        for tree, leaf in zip(fitted.trees, fitted.leaves):
+            want = ops.add_leaf_values(want, tree, leaf, "p")
+            assert ops.tree_value(tree, leaf, F.col("x")) is not None
+        assert [r.p for r in fitted.predict(df, "p").select("p").collect()] == [r.p for r in want.select("p").collect()]
+        by_one = df.withColumn("p", F.lit(fitted.start))
+        for step in zip(fitted.trees, fitted.leaves):
+            by_one = ops.add_steps(by_one, [step], "p")
+        assert [r.p for r in by_one.select("p").collect()] == [r.p for r in want.select("p").collect()]
+
+
+def test_splits_of_levels_go_by_leaves(spark):
+    level = StringIndexer(inputCol="l", outputCol="c", stringOrderType="alphabetAsc")
+    df = spark.range(300).select(F.concat(F.lit("l"), (F.col("id") % 4).cast("string")).alias("l"), (F.col("id") % 4 * 3 % 5).cast("double").alias("y"))
+    df = VectorAssembler(inputCols=["c"], outputCol="features").transform(level.fit(df).transform(df))
+    fitted = ops.LeafBoost("squared", n_estimators=12, subsample=1.0, max_depth=3, learning_rate=0.7, reg_lambda=0.0).fit(df, "y")
+    assert ops.tree_value(fitted.trees[0], {}, F.col("x")) is None
+    assert fitted.predict(df, "p").filter("abs(p - y) > 0.01").count() == 0
